@@ -39,9 +39,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 REMEMBERED = 1_500_000
 #: Characters that are encoded at a time, so that the working arrays stay small.
 AT_ONCE = 1 << 20
-_WHITE = r"\t-\r \x85\xa0  -     　"
+_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space other than single spaces and line feeds between words.
-_IRREGULAR = re.compile(rf"[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]|[ \n](?=[ \n]|\Z)")
+_IRREGULAR = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n](?=[ \n]|\Z)")
 _BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 
 

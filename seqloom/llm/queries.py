@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+from seqloom.llm.ann import op9_additive_quantisation
 from seqloom.llm.bpe import op1_byte_bpe
+from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
+from seqloom.llm.packing import op7_best_fit_packing
+from seqloom.llm.topk import OP6_SQL, op6_maxscore_topk
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op6_maxscore_topk": op6_maxscore_topk,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_additive_quantisation": op9_additive_quantisation,
+    "op10_snapshot_collapse": op10_snapshot_collapse,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op6_maxscore_topk": OP6_SQL,
+    "op10_snapshot_collapse": OP10_SQL,
+}
