@@ -17,6 +17,8 @@ than asked for give fewer rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from seqloom.llm import common, vectors
 
 #: Rows that codebooks are fitted on at most; codebooks, words of each, width of the beam.
-SAMPLE, BOOKS, WORDS, BEAM = 4096, 8, 64, 4
-#: Candidates of a cell that are scored again for each query, and queries scored together.
-RERANKED, TOGETHER = 128, 256
+SAMPLE, BOOKS, WORDS, BEAM = 4096, 16, 256, 2
+#: Share of a cell's candidates that are scored again for each query, and queries scored together.
+RERANKED, TOGETHER = 0.06, 256
 
 
 def _means(x: np.ndarray, words: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,23 +62,31 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[m][codes[:, m]] for m in range(len(books)))
 
 
-def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 7) -> np.ndarray:
+def fit(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, steps: int = 8, seed: int = 7) -> np.ndarray:
     """Codebooks [books, words, dimension]."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float32)
     rest, made = x.copy(), []
     for _ in range(books):
-        book = _means(rest, words, 5, rng)
+        book = _means(rest, words, 4, rng)
         rest = rest - book[((book**2).sum(1) - 2 * rest @ book.T).argmin(1)]
         made.append(book)
     out = np.stack(made)
-    for _ in range(rounds):  # all codebooks together, given the codes
+    for _ in range(rounds):  # all codebooks together, given the codes: conjugate gradients on the normal equations
         codes = encode(x, out)
-        hot = np.zeros((len(x), books * words), np.float32)
-        hot[np.arange(len(x))[:, None], codes + np.arange(books) * words] = 1
-        step = np.linalg.solve(hot.T @ hot + np.eye(books * words, dtype=np.float32), hot.T @ (x - decode(codes, out)))
-        out = out + step.reshape(out.shape).astype(np.float32)
-    return out
+        hot = [np.eye(words, dtype=np.float32)[codes[:, m]].T for m in range(books)]
+        gather = lambda y, hot=hot: np.stack([h @ y for h in hot])
+        left = gather(x - decode(codes, out)) - 0.1 * out
+        move, size = left, float((left**2).sum())
+        for _ in range(steps):
+            if size < 1e-9:
+                break
+            image = gather(decode(codes, move)) + 0.1 * move
+            step = size / float((move * image).sum())
+            out, left = out + step * move, left - step * image
+            size, before = float((left**2).sum()), size
+            move = left + size / before * move
+    return out.astype(np.float32)
 
 
 def index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, np.ndarray]:
@@ -102,12 +112,11 @@ def index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tupl
 def nearest(df: DataFrame, k: int, query_every: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k nearest found, by inner product; queries are the rows whose id is divisible by `query_every`."""
     made, books = index(df, key, vector)
-    keep = max(RERANKED, 2 * (k + 1))
-
     def score(cell: vectors.Cell):
         codes = np.frombuffer(b"".join(cell.extra["codes"].to_pylist()), np.uint8).reshape(len(cell.vectors), -1)
         scale = (cell.extra["norm"].to_numpy() / np.maximum(cell.extra["approximate_norm"].to_numpy(), 1e-12)).astype(np.float32)
         n, picked = len(codes), []
+        keep = max(math.ceil(RERANKED * n), 3 * (k + 1))
         for at in range(0, len(cell.queries), TOGETHER):
             asked = cell.queries[at : at + TOGETHER].astype(np.float32)
             tables = books @ asked.T  # of each codebook, words by queries
@@ -118,12 +127,15 @@ def nearest(df: DataFrame, k: int, query_every: int, key: str = "vec_id", vector
             most = min(keep, n)
             best = np.argpartition(-total.T, most - 1, axis=1)[:, :most] if most < n else np.tile(np.arange(n), (len(asked), 1))
             picked.append(best)
-        query, vector = np.repeat(np.arange(len(cell.queries)), picked[0].shape[1]), np.concatenate(picked).ravel()
-        exact = np.empty(len(query))
-        for at in range(0, len(query), 1 << 15):
-            own = slice(at, at + (1 << 15))
-            exact[own] = (cell.queries[query[own]].astype(np.float64) * cell.vectors[vector[own]].astype(np.float64)).sum(axis=1)
-        return query, vector, exact
+        query, vector, exact = [], [], []
+        doubles = cell.vectors.astype(np.float64)
+        for row, best in enumerate(np.concatenate(picked)):
+            scores = (doubles[best] * cell.queries[row].astype(np.float64)).sum(axis=1)
+            top = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1]) if len(scores) > k else np.arange(len(scores))
+            query.append(np.full(len(top), row))
+            vector.append(best[top])
+            exact.append(scores[top])
+        return np.concatenate(query), np.concatenate(vector), np.concatenate(exact)
 
     return vectors.search(common.materialize(made, "codes"), F.col("_id") % query_every == 0, k, score, "double", ("codes", "norm", "approximate_norm"))
 

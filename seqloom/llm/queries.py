@@ -7,11 +7,13 @@ from seqloom.llm.bpe import op1_byte_bpe
 from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.topk import OP6_SQL, op6_maxscore_topk
+from seqloom.llm.warc import op8_dictionary_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op6_maxscore_topk": op6_maxscore_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_dictionary_warc": op8_dictionary_warc,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_snapshot_collapse": op10_snapshot_collapse,
 }
