@@ -135,3 +135,25 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out = np.repeat(starts.astype(kind) - before, lengths)
     out += np.arange(total, dtype=kind)
     return out
+
+
+def row_groups(offsets: np.ndarray, limit: int = 2 << 20):
+    """Ranges of rows of about `limit` bytes, a longer row alone, so that working arrays stay small."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        yield at, min(to, n)
+        at = min(to, n)
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of each `width` consecutive values."""
+    n = len(x) - width + 1
+    if n <= 0:
+        return x[:0]
+    padded = np.full(-(-len(x) // width) * width, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])

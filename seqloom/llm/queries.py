@@ -7,12 +7,14 @@ from seqloom.llm.bpe import op1_byte_bpe
 from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.pii import op4_weak_supervision_pii
+from seqloom.llm.substrings import op2_phrase_automata
 from seqloom.llm.topk import OP6_SQL, op6_maxscore_topk
 from seqloom.llm.toxicity import op3_counterfactual_toxicity
 from seqloom.llm.warc import op8_dictionary_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_phrase_automata": op2_phrase_automata,
     "op3_counterfactual_toxicity": op3_counterfactual_toxicity,
     "op4_weak_supervision_pii": op4_weak_supervision_pii,
     "op6_maxscore_topk": op6_maxscore_topk,
