@@ -92,21 +92,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[list[str], list[str], list[str], int]], share: float, n_features: int = FEATURES, ridge: float = RIDGE, penalty: float = SWAP_PENALTY) -> Model:
+def fit(rows: list[tuple[list[str], list[str], list[str], int]], chosen: list[str], share: float, ridge: float = RIDGE, penalty: float = SWAP_PENALTY) -> Model:
     """rows: features of each labelled text, features of its group-naming sentences before and after swapping, label. share: of toxic labels among all."""
     labels = np.array([r[3] for r in rows], float)
     if not len(rows) or labels.min() == labels.max():
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, float(np.log(share / (1 - share))))
-    names, code = np.unique(np.array([f for r in rows for f in r[0]]), return_inverse=True)
-    owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    pos, neg = (np.bincount(code, labels[owner] == y, len(names)) for y in (1, 0))
     n_pos, n_neg = (labels == 1).sum(), (labels == 0).sum()
-    odds = np.log((pos + 0.5) / (n_pos - pos + 0.5)) - np.log((neg + 0.5) / (n_neg - neg + 0.5))
-    z = odds / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5) + 1 / (n_pos - pos + 0.5) + 1 / (n_neg - neg + 0.5))
-    z[(pos + neg < 4) | (np.abs(z) < 2.5)] = 0
-    best = np.lexsort((names, -np.abs(z)))[:n_features]
-    chosen = sorted({str(names[i]) for i in best if z[i]} | set(_SWAP))
+    chosen = sorted({*chosen, *_SWAP})
     at = {f: i for i, f in enumerate(chosen)}
 
     def matrix(lists: list[list[str]]) -> np.ndarray:
@@ -158,12 +151,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.string())) for x in lists), batch.column(2)], ["doc_id", "f", "a", "b", "y"])
 
     seen = common.materialize(taken.mapInArrow(run, "doc_id bigint, f array<string>, a array<string>, b array<string>, y int"), "labelled")
-    # Features of a label's few documents only can't be chosen; those of at least four are few enough for the driver.
-    known = seen.select(F.explode("f").alias("f")).groupBy("f").count().where("count >= 4").select("f")
-    narrow = seen.select("doc_id", "a", "b", "y", F.explode_outer("f").alias("f")).join(known, "f", "left_semi").groupBy("doc_id").agg(F.collect_list("f").alias("f"))
-    rows = seen.select("doc_id", "a", "b", "y").join(narrow, "doc_id", "left").collect()
-    data = sorted((r["doc_id"], sorted(r["f"] or []), r["a"], r["b"], r["y"]) for r in rows)
-    return fit([d[1:] for d in data], share)
+    size = {r[0]: r[1] for r in seen.groupBy("y").count().collect()}
+    n_pos, n_neg = F.lit(float(size.get(1, 0))), F.lit(float(size.get(0, 0)))
+    counts = seen.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    pos, neg, less_pos, less_neg = F.col("pos") + 0.5, F.col("neg") + 0.5, n_pos - F.col("pos") + 0.5, n_neg - F.col("neg") + 0.5
+    z = F.abs((F.log(pos / less_pos) - F.log(neg / less_neg)) / F.sqrt(1 / pos + 1 / neg + 1 / less_pos + 1 / less_neg))
+    best = counts.where("pos + neg >= 4").select("f", F.round(z, 9).alias("z")).where("z >= 2.5").orderBy(F.desc("z"), "f").limit(FEATURES)
+    chosen = [r["f"] for r in best.collect()]
+    wanted = F.array(*map(F.lit, sorted({*chosen, *_SWAP})))
+    rows = seen.select("doc_id", *(F.array_intersect(c, wanted).alias(c) for c in ("f", "a", "b")), "y").collect()  # at most 2 * sample rows of few features
+    data = sorted((r["doc_id"], sorted(r["f"]), r["a"], r["b"], r["y"]) for r in rows)
+    return fit([d[1:] for d in data], chosen, share)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
