@@ -5,6 +5,7 @@ from __future__ import annotations
 from seqloom.llm.ann import op9_additive_quantisation
 from seqloom.llm.bpe import op1_byte_bpe
 from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
+from seqloom.llm.jaccard import OP5_SQL, op5_size_aware_jaccard
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.pii import op4_weak_supervision_pii
 from seqloom.llm.substrings import op2_phrase_automata
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_phrase_automata": op2_phrase_automata,
     "op3_counterfactual_toxicity": op3_counterfactual_toxicity,
     "op4_weak_supervision_pii": op4_weak_supervision_pii,
+    "op5_size_aware_jaccard": op5_size_aware_jaccard,
     "op6_maxscore_topk": op6_maxscore_topk,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_dictionary_warc": op8_dictionary_warc,
@@ -25,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_size_aware_jaccard": OP5_SQL,
     "op6_maxscore_topk": OP6_SQL,
     "op10_snapshot_collapse": OP10_SQL,
 }
