@@ -92,6 +92,29 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class _Scorer:
+    """Scores lists of texts; remembers which features a word has."""
+
+    def __init__(self, model: Model) -> None:
+        self.weights, self.bias = model.weights, model.bias
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        out = []
+        for text in texts:
+            found: set[str] = set()
+            for w in set(_WORDS((text or "").lower())):
+                fs = self.known.get(w)
+                if fs is None:
+                    fs = self.known[w] = tuple(f for f in features_of(w) if f in self.weights)
+                if fs:
+                    found.update(fs)
+            out.append(self.bias + sum(self.weights[f] for f in sorted(found)))
+            if len(self.known) > 500_000:
+                self.known.clear()
+        return _sigmoid(np.array(out, float))
+
+
 def fit(rows: list[tuple[list[str], list[str], list[str], int]], chosen: list[str], share: float, ridge: float = RIDGE, penalty: float = SWAP_PENALTY) -> Model:
     """rows: features of each labelled text, features of its group-naming sentences before and after swapping, label. share: of toxic labels among all."""
     labels = np.array([r[3] for r in rows], float)
@@ -172,28 +195,29 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     at = keep.index(text)
 
     def run(batches):
-        weights, bias = shared.value.weights, shared.value.bias
-        known: dict[str, tuple[str, ...]] = {}
+        weigh = _Scorer(shared.value)
         for batch in batches:
-            out = []
-            for t in batch.column(at).to_pylist():
-                found = set()
-                for w in set(_WORDS((t or "").lower())):
-                    fs = known.get(w)
-                    if fs is None:
-                        fs = known[w] = tuple(f for f in features_of(w) if f in weights)
-                    if fs:
-                        found.update(fs)
-                out.append(bias + sum(weights[f] for f in sorted(found)))
-                if len(known) > 500_000:
-                    known.clear()
-            p = _sigmoid(np.array(out, float))
+            p = weigh(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*keep, "score", "predicted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
     return docs.select(*keep).mapInArrow(run, f"{schema}, score double, predicted int")
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` whose text scores below the threshold."""
+    common.tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        weigh = _Scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(weigh(batch.column(at).to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learned(spark: SparkSession, sf_dir: str) -> Model:
     """The model of the supplied labels."""
     labels = common.table(spark, sf_dir, "labels").where(~held_out())
