@@ -1,0 +1 @@
+"""Nothing here yet: none of the verbs or operators works on unbounded input."""
