@@ -36,7 +36,7 @@ from seqloom.llm import common
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Remembered pieces of one Python worker; beyond that it forgets all of them.
-REMEMBERED = 1_500_000
+REMEMBERED = 600_000
 #: Characters that are encoded at a time, so that the working arrays stay small.
 AT_ONCE = 1 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
