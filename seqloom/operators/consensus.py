@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
+from seqloom.operators.lineage import written
 
 
 def positions(members: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def corrected(pairs: DataFrame) -> DataFrame:
     pairs: `center`, `member`, `degree`, `aln_c`, `aln_m`, the center with itself included.
     """
     busy = pairs.groupBy("center").agg(F.count("*").alias("_members"), F.sum("degree").alias("_reads")).where("_members > 1 and _reads > 2").select("center")
-    long = A.partition_columns(pairs.join(busy, "center", "left_semi"))
+    long = written(A.partition_columns(pairs.join(busy, "center", "left_semi")), "columns")  # read by every step below
     profiles = profile(long)
     tops = majorities(profiles)
     replaced = to_replace(long, profiles, tops, error_counts(profiles, tops))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import alignment as A
 from seqloom.functions import sequences as S
 from seqloom.operators import consensus, graph, neighbors, significance
+from seqloom.operators.lineage import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,12 +190,13 @@ def components(spark, sf_dir):
 @query()
 def greedy_partition(spark, sf_dir):
     nodes = neighbors.distinct_sequences(short_reads(spark, sf_dir)).select(F.col("seq").alias("node"), "degree")
-    return graph.partition(nodes, nn_graph(spark, sf_dir))
+    return graph.partition(nodes, written(nn_graph(spark, sf_dir), "graph"))
 
 
 @query()
 def greedy_assignment(spark, sf_dir):
-    return graph.greedy_assignment(two_set_nn(spark, sf_dir).select(F.col("q").alias("read"), F.col("t").alias("candidate")))
+    edges = written(two_set_nn(spark, sf_dir).select(F.col("q").alias("read"), F.col("t").alias("candidate")), "edges")
+    return graph.greedy_assignment(edges)
 
 
 @query(f"""WITH {_SHORT}, c AS (SELECT DISTINCT {_ALPHABET.format("p_type || ' ' || p_name")} AS seq FROM part),
@@ -271,7 +273,7 @@ def partition_alignment(spark, sf_dir):
 
 @query()
 def consensus_correction(spark, sf_dir):
-    return consensus.corrected(partition_alignment(spark, sf_dir))
+    return consensus.corrected(written(partition_alignment(spark, sf_dir), "partition"))
 
 
 @query()
