@@ -1,11 +1,13 @@
 """Graphs as tables: components, greedy partitions, greedy assignment, collapse of equivalent candidates.
 
-Greedy choices inside one component depend on each other and run as one grouped map per
-component; everything up to there is joins and aggregates.
+The choices of a greedy partition inside one component depend on each other and run as one
+grouped map per component; everything else is joins and aggregates.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -99,24 +101,19 @@ def partition(nodes: DataFrame, edges: DataFrame, by_neighbours: bool = True) ->
 def greedy_assignment(edges: DataFrame) -> DataFrame:
     """`read`, `candidate`: again and again the candidate with most unassigned reads gets them all (ties: the lesser name).
 
-    edges: `read`, `candidate`. Components don't influence each other and are solved side by side.
+    edges: `read`, `candidate`. In rounds: a candidate that ranks first for every read it has left is taken together with
+    all others like it. Counts only fall, so none that shares a read with it can come before it.
     """
-    named = edges.select(F.concat(F.lit("r:"), "read").alias("q"), F.concat(F.lit("c:"), "candidate").alias("t"))
-    nodes = named.select(F.col("t").alias("node")).union(named.select(F.col("q").alias("node"))).distinct()
-    labels = components(nodes, named).select(F.col("node").alias("_c"), "component")
-    rows = edges.join(labels, F.concat(F.lit("c:"), "candidate") == F.col("_c")).select("component", "read", "candidate")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        left = {c: set(x) for c, x in part.groupby("candidate")["read"]}
-        out = []
-        while left:
-            best = min(left, key=lambda c: (-len(left[c]), c))
-            reads = left.pop(best)
-            out += [(r, best) for r in sorted(reads)]
-            left = {c: r - reads for c, r in left.items() if r - reads}
-        return pd.DataFrame(out, columns=["read", "candidate"])
-
-    return rows.groupBy("component").applyInPandas(run, "read string, candidate string")
+    left = written(edges.select("read", "candidate").dropna().distinct(), "open")
+    taken = [left.limit(0)]
+    while left.limit(1).count():
+        counts = written(left.groupBy("candidate").agg(F.count("*").alias("n")), "counts")
+        first = left.join(counts, "candidate").groupBy("read").agg(F.min(F.struct((-F.col("n")).alias("n"), "candidate")).alias("_f"))
+        ranked = first.groupBy(F.col("_f.candidate").alias("candidate")).agg(F.count("*").alias("_won")).join(counts, "candidate")
+        picked = written(left.join(ranked.where("_won = n").select("candidate"), "candidate", "left_semi").select("read", "candidate"), "picked")
+        taken.append(picked)
+        left = written(left.join(picked.select("read"), "read", "left_anti"), "open")
+    return reduce(DataFrame.union, taken)
 
 
 def collapsed(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
