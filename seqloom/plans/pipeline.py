@@ -31,7 +31,11 @@ class Parameters:
     p_value_threshold: float = 0.01
     min_test_ratio: int = 5
     ignore_ends_len: int = 15
-    most_steps: int = 50
+    most_steps: int | None = None  # an error where a loop needs more; None: until it converges
+
+    def check(self, steps: int) -> None:
+        if self.most_steps is not None and steps >= self.most_steps:
+            raise RuntimeError(f"not converged after {steps} steps")
 
 
 @dataclass(frozen=True)
@@ -67,8 +71,9 @@ def get_candidates(reads: DataFrame, params: Parameters = Parameters()) -> Candi
         history.append((distances, total, most))
         stuck = len(history) > 2 and distances == history[-3][0]
         worse = len(history) > 1 and total > history[-2][1] and most > history[-2][2]
-        if converged or stuck or worse or total == 0 or len(history) >= params.most_steps:
+        if converged or stuck or worse or total == 0:
             break
+        params.check(len(history))
         fixed = consensus.corrected(kept).select(F.col("member").alias("seq"), F.col("seq").alias("_new"))
         excluded = pairs.where("dropped").select(F.col("member").alias("seq")).distinct()
         moved = current.join(excluded, "seq", "left_anti").join(fixed, "seq", "left")
@@ -157,7 +162,8 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
     state, results = 0, None
     empty = reads.sparkSession.createDataFrame([], "read string, candidate string")
     assignment = written(assignment if assignment is not None else empty, "assigned")
-    for _ in range(params.most_steps):
+    steps = 0
+    while True:
         if state == 1:
             assignment = written(empty, "assigned")
         open_ = reads.join(assignment.select(F.col("read").alias("acc")), "acc", "left_anti")
@@ -186,6 +192,8 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
             state, dropped = 1, True
         if not dropped or not alive.limit(1).count():
             break
+        steps += 1
+        params.check(steps)
     merged = written(graph.collapsed(alive.select("acc", F.coalesce("support", F.lit(1)).cast("bigint").alias("support")), neighbors.equivalent_pairs(alive.select("acc", "seq"), params.ignore_ends_len)), "merged")
     final = assignment.join(merged, F.col("candidate") == F.col("acc")).select("read", F.col("survivor").alias("candidate"))
     final = written(final, "final")
