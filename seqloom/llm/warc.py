@@ -15,9 +15,11 @@ that a payload that a third of all pages repeat is one row on that side; the pag
 themselves meet their decision by page id.
 
 Defined results: a null html is an empty payload; a null url an empty one; very long
-pages are one record; rows without a page id are left out; rows with the same page id
-are one record each and never refer to themselves; an empty table gives no archives;
-further columns are not carried.
+pages are one record; rows without a page id are left out; every other row is one
+record, and rows with the same page id are decided each by their own payload; a row
+that repeats a page id together with its payload is decided as that row is, and no
+page refers to itself; an empty table gives no archives; further columns are not
+carried.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from seqloom.llm import common
 
 MAGIC = 0x184D2A5D
-#: Bytes of payload of an archive, about; of its dictionary; and of the records that it is trained on, at most.
+#: Bytes of records of an archive, about; of its dictionary; and of the records that it is trained on, at most.
 ARCHIVE_BYTES, DICTIONARY_BYTES, SAMPLE_BYTES = 16 << 20, 64 << 10, 4 << 20
 #: Any fixed time: equal input gives equal archives.
 DATE = "2000-01-01T00:00:00Z"
@@ -46,19 +48,20 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _uri(page_id: int) -> str:
-    return f"urn:uuid:{uuid.uuid5(_SPACE, str(page_id))}"
+def _uri(page_id: int, digest: str) -> str:
+    return f"urn:uuid:{uuid.uuid5(_SPACE, f'{page_id} {digest}')}"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
-    """One record: a response, or a revisit of the response of page `refers_to`."""
-    digest = payload_digest(payload)
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int, url: str, payload: bytes | None, refers_to: int | None, size: int | None = None, digest: str | None = None) -> bytes:
+    """One record: a response, or a revisit of the response of page `refers_to`, whose payload's size and digest are enough."""
+    if payload is not None:
+        size, digest = len(payload), payload_digest(payload)
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_uri(page_id)}>",
+        f"WARC-Record-ID: <{_uri(page_id, digest)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {''.join(url.split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -68,7 +71,7 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None, refers
     if refers_to is not None:
         head += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <{_uri(refers_to)}>",
+            f"WARC-Refers-To: <{_uri(refers_to, digest)}>",
             f"X-Refers-To-Page-ID: {refers_to}",
         ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -123,12 +126,15 @@ def reader(first: bytes):
 
 
 def decisions(df: DataFrame, at_least: int = 0) -> DataFrame:
-    """`page_id`, `url`, `payload`, and `refers_to` where the page revisits another with the same payload of at least so many bytes."""
-    pages = df.where(F.col("page_id").isNotNull()).select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    digest = pages.select("page_id", F.sha1(F.col("html").cast("binary")).alias("_digest"), F.octet_length("html").alias("_size"))
-    first = digest.where(F.col("_size") >= at_least).groupBy("_digest", "_size").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    revisits = digest.join(first, ["_digest", "_size"]).where(F.col("page_id") != F.col("_first")).select("page_id", F.col("_first").alias("refers_to")).distinct()
-    return pages.join(revisits, "page_id", "left").select("page_id", "url", F.col("html").cast("binary").alias("payload"), "refers_to")
+    """`page_id`, `url`, `size`, `sha1` (hexadecimal), `payload`, and `refers_to` and no payload where the page revisits another with
+    the same payload of at least so many bytes."""
+    pages = df.where(F.col("page_id").isNotNull()).select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    pages = pages.select("*", F.octet_length("payload").alias("size"), F.sha1("payload").alias("sha1"))
+    digest = pages.where(F.col("size") >= at_least).select("page_id", "sha1", "size")
+    first = digest.groupBy("sha1", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("refers_to < _last").drop("_last")
+    revisits = digest.distinct().join(first, ["sha1", "size"]).where("page_id <> refers_to")  # one row for a page and payload
+    joined = pages.join(revisits, ["page_id", "sha1", "size"], "left")
+    return joined.select("page_id", "url", F.col("size").cast("bigint").alias("size"), "sha1", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "refers_to")
 
 
 def write(decided: DataFrame) -> DataFrame:
@@ -146,9 +152,9 @@ def write(decided: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(at, at + len(part)), pa.int64()), pa.array(part, pa.binary())], ["archive_id", "seq", "frame"])
 
         for batch in batches:
-            for page_id, url, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                records.append(record(page_id, url, payload, refers))
-                size += len(payload)
+            for page_id, url, length, sha1, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                records.append(record(page_id, url, payload, refers, length, base64.b32encode(bytes.fromhex(sha1)).decode()))
+                size += len(records[-1])
                 if size >= ARCHIVE_BYTES:
                     yield from out()
                     records, size = [], 0
@@ -161,7 +167,8 @@ def write(decided: DataFrame) -> DataFrame:
 def read(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """The records of archives: `page_id`, `url`, `payload_bytes`, `payload_digest`, `record_type`, `refers_to`, `payload` (null for revisits)."""
     common.tune(archives.sparkSession)
-    whole = archives.select("archive_id", "seq", "frame").repartition("archive_id").sortWithinPartitions("archive_id", "seq")  # an archive is of bounded size
+    tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), archives.where("seq = 0").count())  # an archive is of bounded size
+    whole = archives.select("archive_id", "seq", "frame").repartition(tasks, "archive_id").sortWithinPartitions("archive_id", "seq")
 
     def run(batches):
         unpack = None
