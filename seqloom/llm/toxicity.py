@@ -2,23 +2,26 @@
 
 A logistic regression on which words, and which beginnings of words, a text has. The
 features are those whose document counts differ most, for their size, between the two
-labels. In training sentences that name a group, the group's name is swapped for
-another of its kind, and the squared change of the score is penalised, so that the
-mention of a group does not count by itself; every listed term is a feature, so that
-the penalty reaches all of them.
+labels. In labelled sentences that name a group or hold a word by which its language
+can be told, that term is swapped for another of its kind, and the squared change of
+the score's log-odds is penalised, so that who is named, or whose language is written,
+does not count by itself; every listed term is a feature, so that the penalty reaches
+all of them. The terms are a parameter. Training warns if it saw no such sentence,
+since the penalty then has no effect; the model says how many texts had one.
 
 Fitted on at most `SAMPLE` labelled rows of each label, those with the least hashes of
 their ids; every text is scored, whole.
 
 Defined results: a null or empty text has the score of a text without any feature;
-repeated rows are scored as often as they occur; several labels of one document count
-as 1 if one of them is; null labels are no labels; without any label of a kind the
+repeated rows are scored as often as they occur, and learned from once for each id
+(the least of its texts); several labels of one document count as 1 if one of them is; null labels are no labels; without any label of a kind the
 score is the share of toxic labels, 0 without labels; an empty table gives an empty
 table; further columns are never inputs.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass
 
@@ -34,7 +37,7 @@ SAMPLE, FEATURES, RIDGE, SWAP_PENALTY = 3000, 512, 1.0, 20.0
 #: Lengths of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Terms that name a group, by kind.
+#: Terms that name a group, by kind; the last kinds are common words by which a community's language is told.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -50,13 +53,25 @@ IDENTITY_TERMS = (
     ("mexican", "american", "chinese", "indian", "german", "french", "spanish", "polish", "turkish", "russian", "nigerian"),
     ("old", "young", "elderly", "teenage"),
     ("deaf", "blind", "disabled", "autistic"),
+    ("the", "der", "les", "los"),
+    ("and", "und", "et", "y"),
+    ("with", "mit", "avec", "con"),
+    ("for", "für", "pour", "para"),
+    ("is", "ist", "est", "es"),
 )
 _WORDS = re.compile(r"[^\W\d_]+").findall
-_SWAP = {t: kind[(i + 1) % len(kind)] for kind in IDENTITY_TERMS for i, t in enumerate(kind)}
+
+
+def swaps(terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> dict[str, str]:
+    """Each term and the next of its kind."""
+    return {t: kind[(i + 1) % len(kind)] for kind in terms for i, t in enumerate(kind)}
+
+
+_SWAP = swaps()
 
 
 def features_of(word: str) -> list[str]:
-    """A word in lower case and its beginnings; group names only as themselves."""
+    """A word in lower case and its beginnings; terms of groups only as themselves."""
     if word in _SWAP:
         return [word]
     return [word, *(f"{word[:n]}*" for n in BEGINNINGS if len(word) > n)]
@@ -79,10 +94,11 @@ def swapped(text: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of features, and the bias."""
+    """Weights of features, the bias, and how many texts the penalty saw swapped."""
 
     weights: dict[str, float]
     bias: float
+    pairs: int = 0
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-(self.bias + sum(self.weights.get(f, 0.0) for f in sorted(features(text)))))))
@@ -133,7 +149,9 @@ def fit(rows: list[tuple[list[str], list[str], list[str], int]], chosen: list[st
         return out
 
     x = matrix([r[0] for r in rows])
-    pairs = [r for r in rows if r[1]]
+    pairs = [r for r in rows if set(r[1]) != set(r[2])]
+    if not pairs:
+        logging.getLogger(__name__).warning("no labelled text holds a listed term: the counterfactual penalty has no effect")
     change = matrix([r[1] for r in pairs]) - matrix([r[2] for r in pairs])
     hold = np.diag([ridge] * len(chosen) + [1e-3]) + penalty * change.T @ change
     # As many of each label as there are in all, not as in the sample.
@@ -146,7 +164,7 @@ def fit(rows: list[tuple[list[str], list[str], list[str], int]], chosen: list[st
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Model({f: round(float(w[i]), 9) for f, i in at.items() if w[i]}, round(float(w[-1]), 9))
+    return Model({f: round(float(w[i]), 9) for f, i in at.items() if w[i]}, round(float(w[-1]), 9), len(pairs))
 
 
 def held_out(key: str = "doc_id"):
@@ -154,7 +172,7 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty: float = SWAP_PENALTY) -> Model:
     """Fit on labelled documents; `labels` has doc_id and toxic, and only rows to learn from."""
     common.tune(docs.sparkSession)
     one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("_y"))
@@ -164,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for y in (0, 1):
         part = one.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.union(part)
-    taken = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows
+    taken = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y").agg(F.min("text").alias("text"))  # at most 2 * sample rows
+    taken = taken.select("doc_id", "text", "_y")
 
     def run(batches):
         for batch in batches:
@@ -184,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     wanted = F.array(*map(F.lit, sorted({*chosen, *_SWAP})))
     rows = seen.select("doc_id", *(F.array_intersect(c, wanted).alias(c) for c in ("f", "a", "b")), "y").collect()  # at most 2 * sample rows of few features
     data = sorted((r["doc_id"], sorted(r["f"]), r["a"], r["b"], r["y"]) for r in rows)
-    return fit([d[1:] for d in data], chosen, share)
+    return fit([d[1:] for d in data], chosen, share, penalty=penalty)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
