@@ -4,7 +4,8 @@ Base patterns fix what certainly is a span. Further candidates come from wider
 patterns: written-out mail addresses, telephone numbers without a plus sign, card
 numbers that the base dropped, addresses of version 6. Labelers vote on every
 candidate, base spans included: the strict form (regex), endings, areas and issuers
-(gazetteers), and the words before it (context). Expectation-maximisation, run for
+(gazetteers), and what stands around it (context): words that announce its kind, prose
+on both sides or numbers beside it, words that speak against all kinds. Expectation-maximisation, run for
 each kind on the counts of vote patterns, estimates how reliable each labeler is and
 how likely each pattern is personal data; these likelihoods train the final
 classifier of spans, a logistic regression on votes and shape. Candidates that it
@@ -38,8 +39,10 @@ ACCEPTED = 0.9
 #: Characters before a candidate that context labelers read.
 CONTEXT = 32
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# The base patterns for addresses, in a form that takes a run of characters once: a match begins where its run does, or where
+# the match before ends, and a run that no address follows holds no beginning of one. What follows the run is the group.
+_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++)?")
+_IP = re.compile(r"[0-9]++((?:\.[0-9]++){3})?")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]").search
@@ -47,7 +50,7 @@ _NOT_DIGIT = re.compile("[^0-9]")
 
 #: Wider patterns by kind.
 _WIDE = (
-    ("email", re.compile(r"\b[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]+)+", re.I), "at"),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\.) ?[A-Za-z0-9-]++)++", re.I), "at"),
     ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"), ":"),
     ("card", re.compile(r"(?<![0-9A-Za-z.])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])"), ""),
     ("phone", re.compile(r"(?<![0-9A-Za-z+.])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ /-]|[0-9]{3}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9A-Za-z])"), ""),
@@ -64,6 +67,9 @@ _FOR = {
     "phone": re.compile(r"\b(?:tel|phone|call|fax|mobile|cell|telefon|téléphone|teléfono)\b", re.I),
 }
 _AGAINST = re.compile(r"(?:\b(?:version|isbn|issn|order|invoice|id|ref|page|chapter|section|build|sku|total|amount)\b[ :#.]*|[#$€£=]) ?$", re.I)
+#: The beginning of the word after a span, and words of prose. A span between two of them stands in a sentence, one beside a
+#: number in a table or a series.
+_NEXT, _PROSE = re.compile(r"[^\s]{0,8}\s{0,4}([^\s]{0,32})"), re.compile(r"[^\W\d_]+[.,;:!?]?")
 VOTES = ("strict", "gazetteer", "context", "against", "alone")
 
 
@@ -78,9 +84,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the base patterns, by start."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text)]
+        out += [(m.start(), 0, m.end()) for m in _EMAIL.finditer(text) if m[1]]
     if _DIGIT(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if m[1] and all(len(x.lstrip("0")) <= 3 and int(x[-3:]) <= 255 for x in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = _NOT_DIGIT.sub("", m.group())
             if 12 <= len(digits) <= 19 and _luhn(digits):
@@ -92,9 +98,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def wide_spans(text: str) -> list[tuple[int, int, int]]:
     """Candidates of the wider patterns, by start."""
-    if not _DIGIT(text) and "at)" not in text.lower() and "at]" not in text.lower() and "at}" not in text.lower():
+    low = text.lower()
+    if not _DIGIT(text) and "at)" not in low and "at]" not in low and "at}" not in low:
         return []
-    return sorted((m.start(), KINDS.index(kind), m.end()) for kind, pattern, need in _WIDE if need in text.lower() for m in pattern.finditer(text))
+    return sorted((m.start(), KINDS.index(kind), m.end()) for kind, pattern, need in _WIDE if need in low for m in pattern.finditer(text))
 
 
 def votes(text: str, span: tuple[int, int, int], base: bool) -> str:
@@ -115,7 +122,12 @@ def votes(text: str, span: tuple[int, int, int], base: bool) -> str:
         gazetteer = digits.startswith(_DIALLING) if what.startswith("+") else what.startswith(("(", "0"))
         strict = 9 <= len(digits) <= 15 and (what.startswith("+") or base)
     edges = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
-    context = "+" if _FOR[kind].search(before) else "0"
+    after = _NEXT.match(text, end)[1]
+    last = before.split()[-1:]
+    if _FOR[kind].search(before) or (last and after and _PROSE.fullmatch(last[0]) and _PROSE.fullmatch(after)):
+        context = "+"
+    else:
+        context = "-" if any(_DIGIT(x) for x in (*last, after)) else "0"
     return ("+" if strict else "-") + ("+" if gazetteer else "-") + context + ("-" if _AGAINST.search(before) else "0") + ("+" if edges else "-")
 
 
