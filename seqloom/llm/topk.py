@@ -1,15 +1,18 @@
 """Operator 6: exact top-k search by integer inner product, with MaxScore.
 
-Each dimension is a term and its column of a shard a posting list. A term's share of a
-score lies between bounds that follow from the query and the least and greatest value
-of the list. Terms are taken in the order of how far those bounds lie apart. The
-leading, essential ones are those without which no document can reach the score that
-the k-th best is known to have; their lists are traversed for all documents. The
+Each dimension is a term and its column of a shard a posting list. Documents that are
+near each other stand together, and lists are cut into blocks of `BLOCK` documents with
+their own least and greatest value, from which follow the bounds of a term's share of a
+query's scores. A query takes blocks in the order of what they can reach at most, and
+its threshold, the k-th best score so far, rises from block to block; blocks below it
+are skipped. In a block the query's terms are taken in the order of how far their
+bounds lie apart. The leading, essential ones are those without which no document can
+reach the threshold; their lists are traversed for all documents of the block. The
 others are probed, a few terms at a time, only for documents that can still compete.
 Shards are merged by rank. All arithmetic is on integers, so results are exact.
 
-Defined results: see `vectors`; fewer than k candidates give fewer rows; an empty
-table gives an empty table.
+Defined results: see `vectors`; fewer than k candidates give fewer rows; scores that do
+not fit into 64 bits are an error; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import common, vectors
 
-#: Terms that are probed together, and documents whose full scores give the first threshold.
-PROBED_TOGETHER, SCORED_FIRST = 8, 256
+#: Terms that are probed together, and documents of a block, at most.
+PROBED_TOGETHER, BLOCK = 8, 1024
 
 
 def quantised(x: np.ndarray, scale: int = 256) -> np.ndarray:
@@ -29,38 +32,79 @@ def quantised(x: np.ndarray, scale: int = 256) -> np.ndarray:
     return np.floor(scale * x.astype(np.float64))
 
 
-def max_score(queries: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, document, score) of all pairs that can be among a query's k best; whole numbers in, exact scores out."""
+def _blocks(docs: np.ndarray) -> list[np.ndarray]:
+    """Rows of each block: documents of one nearest centre, cut at BLOCK."""
+    n = len(docs)
+    centres = docs[:: max(1, n // max(1, n // BLOCK))].astype(np.float64)
+    for _ in range(2):
+        near = np.concatenate([((centres**2).sum(1) - 2 * part @ centres.T).argmin(1) for part in np.array_split(docs.astype(np.float64), 1 + n // 8192)])
+        counts = np.bincount(near, minlength=len(centres))
+        order = np.argsort(near, kind="stable")
+        begin = np.cumsum(counts) - counts
+        there = counts > 0
+        centres = np.add.reduceat(docs[order].astype(np.float64), begin[there], axis=0) / counts[there, None]
+        begin, counts = begin[there], counts[there]
+    return [part for at, m in zip(begin, counts, strict=True) for part in np.array_split(order[at : at + m], -(-m // BLOCK))]
+
+
+def max_score(queries: np.ndarray, docs: np.ndarray, k: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, document, score) of all pairs that can be among a query's k best; whole numbers in, exact scores out.
+
+    `seen` gets the number of products that were made and that of all products.
+    """
     n, terms = docs.shape
-    if float(np.abs(queries).max(initial=0)) * float(np.abs(docs).max(initial=0)) * terms >= 2.0**52:
-        exact = queries.astype(np.int64).astype(object) @ docs.T.astype(np.int64).astype(object)
-        q, d = np.divmod(np.arange(exact.size), n)
-        return q, d, exact.ravel().astype(np.int64)
-    low, high = docs.min(axis=0), docs.max(axis=0)
-    most, least = np.maximum(queries * low, queries * high), np.minimum(queries * low, queries * high)
-    order = np.argsort(-(most - least).mean(axis=0), kind="stable")
-    queries, docs, most, least = queries[:, order], np.ascontiguousarray(docs[:, order].T), most[:, order], least[:, order]
-
-    first = queries @ docs[:, :: max(1, n // SCORED_FIRST)]
-    k = min(k, n)
-    known = np.sort(first, axis=1)[:, -k] if first.shape[1] >= k else np.full(len(queries), -np.inf)
-    rest = np.concatenate([np.cumsum(most[:, ::-1], axis=1)[:, ::-1], np.zeros((len(queries), 1))], axis=1)  # of terms from each on, the most
-    floor = np.concatenate([np.zeros((len(queries), 1)), np.cumsum(least, axis=1)], axis=1)  # of terms before each, the least
-    hopeless = floor + rest < known[:, None]  # with all lists before this one as low as can be
-    essential = int(np.where(hopeless.any(axis=1), hopeless.argmax(axis=1), terms).max())
-
-    partial = queries[:, :essential] @ docs[:essential]
-    query, doc = np.nonzero(partial + rest[:, essential, None] >= known[:, None])
-    score = partial[query, doc]
-    for at in range(essential, terms, PROBED_TOGETHER):
-        block = slice(at, min(at + PROBED_TOGETHER, terms))
-        if len(query) > 0.2 * partial.size:  # so many compete that the lists are read as a whole
-            score += (queries[:, block] @ docs[block])[query, doc]
-        else:
-            score += np.einsum("ij,ji->i", queries[query, block], docs[block][:, doc])
-        keep = score + rest[query, block.stop] >= known[query]
-        query, doc, score = query[keep], doc[keep], score[keep]
-    return query, doc, score.astype(np.int64)
+    greatest = float(np.abs(queries).max(initial=0)) * float(np.abs(docs).max(initial=0)) * terms
+    if greatest >= 2.0**62:
+        raise ValueError("scores do not fit into 64 bits")
+    kind = np.float64 if greatest < 2.0**52 else np.int64  # both exact
+    queries, docs = queries.astype(kind), docs.astype(kind)
+    rows = _blocks(docs) if n else []
+    lists = [np.ascontiguousarray(docs[r].T) for r in rows]
+    low, high = (np.array([f(x, axis=1) for x in lists], kind).reshape(len(rows), terms) for f in (np.min, np.max))
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    reach = up @ high.T + down @ low.T  # of each query and block, the most
+    made, found = 0, []
+    for i, q in enumerate(queries):
+        best, known, kept_d, kept_s = np.zeros(0, kind), None, [], []
+        for b in np.argsort(-reach[i], kind="stable").tolist():
+            if known is not None and reach[i, b] < known:
+                break  # so do all blocks that follow
+            block, size = lists[b], len(rows[b])
+            if known is None:
+                doc, score = np.arange(size), q @ block
+                made += size * terms
+            else:
+                most, least = np.maximum(q * low[b], q * high[b]), np.minimum(q * low[b], q * high[b])
+                order = np.argsort(least - most, kind="stable")
+                most, least, mine = most[order], least[order], q[order]
+                rest = np.append(np.cumsum(most[::-1])[::-1], 0)  # of terms from each on, the most
+                hopeless = np.append(0, np.cumsum(least)) + rest < known  # with all lists before this one as low as can be
+                essential = int(hopeless.argmax()) if hopeless.any() else terms
+                partial = mine[:essential] @ block[order[:essential]]
+                made += size * essential
+                doc = np.flatnonzero(partial + rest[essential] >= known)
+                score = partial[doc]
+                for at in range(essential, terms, PROBED_TOGETHER):
+                    if not len(doc):
+                        break
+                    some = slice(at, min(at + PROBED_TOGETHER, terms))
+                    score = score + mine[some] @ block[order[some]][:, doc]
+                    made += len(doc) * (some.stop - some.start)
+                    keep = score + rest[some.stop] >= known
+                    doc, score = doc[keep], score[keep]
+            kept_d.append(rows[b][doc])
+            kept_s.append(score)
+            best = np.sort(np.append(best, score))[-k:]
+            known = best[0] if len(best) == k else None
+        d, s = np.concatenate(kept_d or [np.zeros(0, np.int64)]), np.concatenate(kept_s or [best])
+        if known is not None:
+            d, s = d[s >= known], s[s >= known]
+        found.append((np.full(len(d), i), d, s))
+    if seen is not None:
+        seen[:] = [made, len(queries) * n * terms]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
 
 
 def top_k(df: DataFrame, k: int, query_every: int, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
