@@ -17,8 +17,6 @@ than asked for give fewer rows; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +26,9 @@ from seqloom.llm import common, vectors
 
 #: Rows that codebooks are fitted on at most; codebooks, words of each, width of the beam.
 SAMPLE, BOOKS, WORDS, BEAM = 4096, 16, 256, 2
-#: Share of a cell's candidates that are scored again for each query, and queries scored together.
-RERANKED, TOGETHER = 0.06, 256
+#: Candidates of a shard that are scored again for each query, and queries scored together. On 26,000 rows that the codebooks
+#: had not been fitted on, 400 gave a recall of 0.90 at 20, 800 one of 0.96, 1600 one of 0.99.
+RERANKED, TOGETHER = 1200, 256
 
 
 def _means(x: np.ndarray, words: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -112,11 +111,12 @@ def index(df: DataFrame, key: str = "vec_id", vector: str = "embedding") -> tupl
 def nearest(df: DataFrame, k: int, query_every: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Each query's k nearest found, by inner product; queries are the rows whose id is divisible by `query_every`."""
     made, books = index(df, key, vector)
+
     def score(cell: vectors.Cell):
         codes = np.frombuffer(b"".join(cell.extra["codes"].to_pylist()), np.uint8).reshape(len(cell.vectors), -1)
         scale = (cell.extra["norm"].to_numpy() / np.maximum(cell.extra["approximate_norm"].to_numpy(), 1e-12)).astype(np.float32)
         n, picked = len(codes), []
-        keep = max(math.ceil(RERANKED * n), 3 * (k + 1))
+        keep = max(RERANKED, 3 * (k + 1))
         for at in range(0, len(cell.queries), TOGETHER):
             asked = cell.queries[at : at + TOGETHER].astype(np.float32)
             tables = books @ asked.T  # of each codebook, words by queries

@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of a shard and of a block of queries, about.
-SHARD_ROWS, BLOCK_ROWS = 32_768, 4_096
+#: Rows of a shard and of a block of queries, about, and of either so many that a cell's vectors and scores take CELL_BYTES at most.
+SHARD_ROWS, BLOCK_ROWS, CELL_BYTES = 32_768, 4_096, 256 << 20
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -88,8 +88,10 @@ def search(rows: DataFrame, is_query: Column, k: int, score: Callable[[Cell], tu
     """
     spark = rows.sparkSession
     total, asked, longest = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.size("_vec"))).first()
-    shards = max(-(-total // SHARD_ROWS), min(spark.sparkContext.defaultParallelism, -(-total // 256)), 1)
-    blocks = max(-(-asked // BLOCK_ROWS), 1)
+    held = max(CELL_BYTES // (24 * (longest or 1)), 1)  # a vector as given and as doubles, twice
+    in_shard, in_block = min(SHARD_ROWS, held), min(BLOCK_ROWS, held, max(CELL_BYTES // (8 * SHARD_ROWS), 1))
+    shards = max(-(-total // in_shard), min(spark.sparkContext.defaultParallelism, -(-total // 256)), 1)
+    blocks = max(-(-asked // in_block), 1)
     rows = rows.where(F.size("_vec") == F.lit(longest or 0))
     part = lambda n, seed: F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(n)).cast("int")
     queries = rows.where(is_query).select("_id", "_vec", part(blocks, 1).alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_shard"))
