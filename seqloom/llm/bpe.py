@@ -35,8 +35,8 @@ from seqloom.llm import common
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Remembered pieces of one Python worker; beyond that it forgets all of them.
-REMEMBERED = 600_000
+#: Bytes, about, of the pieces that one Python worker remembers; beyond that it forgets all of them. An entry is ENTRY_BYTES and its text.
+REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: Characters that are encoded at a time, so that the working arrays stay small.
 AT_ONCE = 1 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -132,13 +132,14 @@ class Codec:
         self.slots = _Slots()
         self.parts: dict[str, tuple[int, ...]] = {}
         self.starts, self.lengths = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.flat, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
 
     def _match(self, match: str) -> tuple[int, ...]:
         """Ids of one match of the pattern."""
         ids = self.parts.get(match)
         if ids is None:
             ids = self.parts[match] = tuple([t.id for t in self.model.tokenize(match.encode().decode("latin-1").translate(_TO_CHARS))])
+            self.held += ENTRY_BYTES + len(match) + 8 * len(ids)
         return ids
 
     def _ids(self, lead: str, word: str):
@@ -167,6 +168,7 @@ class Codec:
         self.starts[n - len(keys) : n] = self.used + np.cumsum(more) - more
         self.lengths[n - len(keys) : n] = more
         self.used += total
+        self.held += ENTRY_BYTES * len(keys) + sum(map(len, keys)) + 8 * total
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
@@ -212,7 +214,7 @@ class Codec:
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))]
         for i, a, b in zip(regular, ends[:-1].tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
-        if len(self.slots) > REMEMBERED or len(self.parts) > REMEMBERED:
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         return out
 

@@ -144,19 +144,21 @@ def pack(df: DataFrame, order: list[str], capacity: int = CAPACITY, length: str
 
     `order` are columns that tell its rows apart. Lengths are from 1 to `capacity`.
     """
+    names, kinds = df.columns, [f.dataType.simpleString() for f in df.schema.fields]
+    inner = {c: f"c{i}" for i, c in enumerate(names)}  # no column of df can clash with those made here
+    df, order, length = df.toDF(*inner.values()), [inner[c] for c in order], inner[length]
     counts = {r[0]: r[1] for r in df.groupBy(length).count().collect()}  # a row for each length: at most `capacity`
     places = df.sparkSession.sparkContext.broadcast(_places(plan(counts, capacity)))
     buckets = max(8, -(-sum(counts.values()) // RANKED_TOGETHER))
-    keyed = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy(length, "_bucket").orderBy(*order)))
+    keyed = df.withColumn("bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy(length, "bucket").orderBy(*order)))
     before = (
-        keyed.groupBy(length, "_bucket").count()
-        .withColumn("_before", F.sum("count").over(W.partitionBy(length).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
-        .select(length, "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
+        keyed.groupBy(length, "bucket").count()
+        .withColumn("before", F.sum("count").over(W.partitionBy(length).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+        .select(length, "bucket", F.coalesce("before", F.lit(0)).alias("before"))
     )
-    joined = ranked.join(before, [length, "_bucket"]).select(*df.columns, (F.col("_rank") - 1 + F.col("_before")).alias("_rank"))
-    names = df.columns
-    at = names.index(length)
+    joined = ranked.join(before, [length, "bucket"]).select(*df.columns, (F.col("rank") - 1 + F.col("before")).alias("rank"))
+    at = df.columns.index(length)
 
     def run(batches):
         for batch in batches:
@@ -167,10 +169,10 @@ def pack(df: DataFrame, order: list[str], capacity: int = CAPACITY, length: str
                 first, sequences, offsets = places.value[int(x)]
                 span = np.searchsorted(first, ranks[own], side="right") - 1
                 sequence[own], offset[own] = sequences[span] + ranks[own] - first[span], offsets[span]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(sequence), pa.array(offset)], [*inner.values(), "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return joined.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
+    schema = ", ".join(f"{c} {k}" for c, k in zip(inner.values(), kinds, strict=True))
+    return joined.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint").toDF(*names, "sequence_id", "offset")
 
 
 def packed(df: DataFrame, vocabulary: bpe.Vocabulary, capacity: int = CAPACITY) -> DataFrame:
