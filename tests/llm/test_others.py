@@ -67,7 +67,7 @@ def test_max_score_keeps_the_best(seed):
 
 
 def test_max_score_of_large_numbers():
-    q, d, s = topk.max_score(np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [-(2.0**20), 5.0]]), 1)
+    q, d, s = topk.max_score(np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 3.0], [-(2.0**20), 5.0]]), 2)
     assert list(zip(q, d, s, strict=True)) == [(0, 0, 2**60 + 3), (0, 1, -(2**60) + 5)]
 
 
@@ -184,3 +184,14 @@ def test_pipeline_stages_with_odd_rows(spark):
     near = corpus_pipeline.without_near_copies(spark, docs, "/root/testdata/sf0.001")
     assert sorted(str(r["doc_id"]) for r in near.collect()) == ["1", "2", "3", "None"]
     assert corpus_pipeline.into_sequences(spark, docs, "/root/testdata/sf0.001").count() == 6
+
+
+def test_max_score_leaves_products_out():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16)) * 400
+    docs = np.floor(np.concatenate([c + rng.normal(size=(700, 16)) * 20 for c in centres]))
+    seen = []
+    topk.max_score(docs[::900], docs, 5, seen)
+    assert seen[0] < 0.5 * seen[1]
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.max_score(np.array([[2.0**40]]), np.array([[2.0**40]]), 1)
