@@ -22,7 +22,8 @@ def transposed(edges: DataFrame, a: str = "q", b: str = "t") -> DataFrame:
 
 def symmetrised(edges: DataFrame, a: str = "q", b: str = "t", weight: str = "ed") -> DataFrame:
     """Both directions of every edge, at the least weight."""
-    return edges.unionByName(transposed(edges, a, b)).groupBy(a, b).agg(F.min(weight).alias(weight))
+    both = F.explode(F.array(F.struct(a, b, weight), F.struct(F.col(b).alias(a), F.col(a).alias(b), weight))).alias("e")
+    return edges.select(both).select("e.*").groupBy(a, b).agg(F.min(weight).alias(weight))
 
 
 def united(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,7 +33,8 @@ def united(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "q", b: str = "t") -> DataFrame:
     """`node`, `component` (least node of its weakly connected component), by least labels and pointer jumping."""
-    both = written(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).where("x <> y").distinct(), "edges")
+    ways = F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")
+    both = written(edges.select(ways).select("e.*").where("x <> y").distinct(), "edges")
     labels = written(nodes.select(F.col(node).alias("node"), F.col(node).alias("label")).distinct(), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("label").alias("_l")), "y").groupBy(F.col("x").alias("node")).agg(F.min("_l").alias("_near"))
@@ -116,6 +118,16 @@ def greedy_assignment(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, taken)
 
 
+def unassigned(reads: DataFrame, assignment: DataFrame) -> DataFrame:
+    """`reads` (`acc`) that `assignment` (`read`) gives to no candidate."""
+    return reads.join(assignment.select(F.col("read").alias("acc")), "acc", "left_anti")
+
+
+def with_reads(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """`candidates` (`acc`) that some read is left for. counts: `acc`, `n`."""
+    return candidates.join(counts.where("n > 0").select("acc"), "acc", "left_semi")
+
+
 def collapsed(candidates: DataFrame, pairs: DataFrame) -> DataFrame:
     """`acc`, `survivor`: candidates that are equivalent but for their ends, by greedy partition.
 

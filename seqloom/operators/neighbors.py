@@ -1,10 +1,11 @@
 """Similarity joins of sequences: nearest neighbours with ties, and pairs that are the same but for their ends.
 
-A nearest neighbour within `near` edits is found by equi-joins: a sequence that is cut
-into near + 1 segments keeps one of them whole under near edits, so a neighbour has
-that segment at nearly the same place. Only queries without such a neighbour are
-compared with all sequences whose length is within a bound, the distance to the
-sequences next to them by length; those meet by buckets of lengths.
+A nearest neighbour within a few edits is found by equi-joins: a sequence that is cut
+into one segment more than there are edits keeps one of them whole, so a neighbour has
+that segment at nearly the same place. Rounds allow more edits, each for the queries
+that are still without a neighbour. Only what is left then is compared with all
+sequences whose length is within a bound, the distance to sequences next to it by
+length; those meet by buckets of lengths.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
 from seqloom.functions import sequences as S
+from seqloom.operators.lineage import written
 
-#: Edits up to which neighbours are found by segments, and lengths of a bucket.
-NEAR, BUCKET = 2, 8
+#: Edits up to which neighbours are found by segments, round by round; lengths of a bucket; characters of a segment at least.
+NEAR, BUCKET, LEAST_SEGMENT = (1, 3, 7), 8, 8
+#: Characters that a window must have at least to be looked up.
+SEED = 8
 
 
 def distinct_sequences(reads: DataFrame) -> DataFrame:
@@ -38,13 +42,17 @@ def _pairs_by_segment(queries: DataFrame, targets: DataFrame, near: int) -> Data
     i = F.explode(F.sequence(F.lit(0), F.lit(near)))
     begin, size = _cuts(F.col("_len"), parts, F.col("_i"))
     held = targets.select(F.col("seq").alias("t"), F.length("seq").alias("_len"), i.alias("_i"))
-    held = held.select("t", "_len", "_i", F.col("t").substr(begin + 1, size).alias("_segment"))
+    held = held.select("t", "_len", "_i", F.xxhash64(F.col("t").substr(begin + 1, size)).alias("_segment"))
     asked = queries.select(F.col("seq").alias("q"), i.alias("_i"), F.length("seq").alias("_own"))
     asked = asked.select("q", "_i", "_own", F.explode(F.sequence(F.col("_own") - near, F.col("_own") + near)).alias("_len")).where("_len >= 0")
-    asked = asked.select("q", "_i", "_own", "_len", F.explode(F.sequence(F.lit(-near), F.lit(near))).alias("_shift"))
+    # The edits before the first whole segment shift it by at most i, those after it leave at most near - i to even the lengths out.
+    even, i_ = F.col("_own") - F.col("_len"), F.col("_i")
+    lowest, highest = F.greatest(-i_, even - (near - i_)), F.least(i_, even + (near - i_))
+    shifts = F.when(lowest <= highest, F.sequence(lowest, F.greatest(lowest, highest))).otherwise(F.array().cast("array<int>"))
+    asked = asked.select("q", "_i", "_own", "_len", F.explode(shifts).alias("_shift"))
     at = (begin + F.col("_shift")).alias("_at")
     asked = asked.select("q", "_i", "_len", at, size.alias("_size"), "_own").where("_at >= 0 and _at + _size <= _own")
-    asked = asked.select("q", "_i", "_len", F.col("q").substr(F.col("_at") + 1, F.col("_size")).alias("_segment"))
+    asked = asked.select("q", "_i", "_len", F.xxhash64(F.col("q").substr(F.col("_at") + 1, F.col("_size"))).alias("_segment")).distinct()
     return asked.join(held, ["_i", "_len", "_segment"]).select("q", "t").distinct()
 
 
@@ -62,18 +70,22 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_best", best).where("ed = _best").drop("_best")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, self_join: bool, near: int = NEAR) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, self_join: bool, near: tuple[int, ...] = NEAR) -> DataFrame:
     """`q`, `t`, `ed`: each query's targets at the least edit distance, ties included.
 
     Both have distinct `seq`. In a self join a sequence is not its own neighbour (ed > 0); otherwise equal sequences
     are at distance 0. Distances go up to the query's length.
     """
-    close = _pairs_by_segment(queries, targets, near)
-    if self_join:
-        close = close.where("q <> t")
-    close = close.withColumn("ed", F.expr(f"levenshtein(q, t, {near})")).where("ed >= 0 and ed <= length(q)")
-    found = _least(close)
-    left = queries.select("seq").join(found.select(F.col("q").alias("seq")).distinct(), "seq", "left_anti")
+    found, left = None, queries.select("seq")
+    for edits in near:
+        # Segments shorter than a few characters single nothing out; those queries are left to the lengths.
+        able = left.where(F.length("seq") - edits >= LEAST_SEGMENT * (edits + 1))
+        close = _pairs_by_segment(able, targets, edits)
+        if self_join:
+            close = close.where("q <> t")
+        close = written(_least(close.withColumn("ed", F.expr(f"levenshtein(q, t, {edits})")).where("ed >= 0 and ed <= length(q)")), "near")
+        found = close if found is None else found.unionByName(close)
+        left = written(left.join(close.select(F.col("q").alias("seq")).distinct(), "seq", "left_anti"), "left")
     # Whatever is near by length bounds the distance; a length that nothing has leaves the query's own.
     some = targets.groupBy(F.length("seq").alias("_len")).agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
     rough = left.withColumn("_len", F.length("seq")).join(some, "_len", "left")
@@ -86,13 +98,25 @@ def nearest(queries: DataFrame, targets: DataFrame, self_join: bool, near: int =
     return found.unionByName(_least(far))
 
 
+def running_before(counts: DataFrame, key: str, coarse: Column) -> DataFrame:
+    """`key`, `before`: the sum of `count` over all lesser keys. `coarse` ascends with the key and has few values.
+
+    Sums run over the coarse values, and inside each of them over its keys, so no task orders all keys.
+    """
+    keyed = counts.select(key, "count", coarse.alias("_coarse"))
+    upto = W.rowsBetween(W.unboundedPreceding, -1)
+    blocks = keyed.groupBy("_coarse").agg(F.sum("count").alias("_n"))
+    blocks = blocks.select("_coarse", F.coalesce(F.sum("_n").over(upto.orderBy("_coarse")), F.lit(0)).alias("_block"))
+    inside = F.coalesce(F.sum("count").over(upto.partitionBy("_coarse").orderBy(key)), F.lit(0))
+    return keyed.withColumn("_inside", inside).join(blocks, "_coarse").select(key, (F.col("_block") + F.col("_inside")).alias("before"))
+
+
 def by_rank(nodes: DataFrame, depth: int) -> DataFrame:
     """As a self join of `nearest`, among sequences whose ranks by length differ by at most `depth`."""
     # Ranks follow from counts of lengths and ranks within a length, so no task orders all rows.
     sized = nodes.select("seq", "degree", F.length("seq").alias("_len"))
-    before = sized.groupBy("_len").count()
-    before = before.join(before.select(F.col("_len").alias("_l"), F.col("count").alias("_c")), F.col("_l") < F.col("_len"), "left").groupBy("_len").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(W.partitionBy("_len").orderBy("seq")) + F.col("_before")
+    before = running_before(sized.groupBy("_len").count(), "_len", F.floor(F.col("_len") / 256))
+    rank = F.row_number().over(W.partitionBy("_len").orderBy("seq")) + F.col("before")
     ranked = sized.join(before, "_len").select("seq", "degree", rank.alias("_rank"))
     asked = ranked.where("degree = 1").select(F.col("seq").alias("q"), F.explode(F.sequence(F.col("_rank") - depth, F.col("_rank") + depth)).alias("_rank"))
     pairs = asked.join(ranked.select(F.col("seq").alias("t"), "_rank"), "_rank").where("q <> t")
@@ -113,16 +137,30 @@ def homopolymer_pairs(candidates: DataFrame) -> DataFrame:
     return keyed.alias("a").join(keyed.alias("b"), "_key").where("a.acc <> b.acc").select(F.col("a.acc").alias("a"), F.col("b.acc").alias("b"))
 
 
+def _width(free: Column, parts: int = 1, most: int = 64) -> Column:
+    """The greatest power of two, `most` at most, that fits `parts` times into `free` characters; 0 if none does."""
+    room = F.floor(free / parts)
+    return F.when(room < 1, 0).otherwise(F.least(F.lit(most), F.pow(F.lit(2.0), F.floor(F.log2(room.cast("double"))))).cast("int"))
+
+
 def equivalent_pairs(candidates: DataFrame, ends: int) -> DataFrame:
     """Pairs `a`, `b` of different sequences, b no longer, that are the same but for at most `ends` characters at either end.
 
-    They meet by buckets of lengths, which differ by 2 * ends at most.
+    What a has right after its first `ends` characters, b has among its first 2 * `ends`: they meet by that window, which is
+    as wide as a's length allows. Sequences of at most 2 * `ends` characters have no such window and meet by length.
     """
     sized = candidates.select("acc", "seq", F.length("seq").alias("_len"))
-    bucket = lambda c: F.floor(c / (2 * ends + 1))
-    long = sized.select(F.col("acc").alias("a"), F.col("seq").alias("_a"), F.explode(F.sequence(bucket(F.greatest(F.col("_len") - 2 * ends, F.lit(0))), bucket(F.col("_len")))).alias("_bucket"))
-    short = sized.select(F.col("acc").alias("b"), F.col("seq").alias("_b"), bucket(F.col("_len")).alias("_bucket"))
-    return long.join(short, "_bucket").where((F.col("_a") != F.col("_b")) & S.equivalent_but_ends("_a", "_b", ends)).select("a", "b")
+    width = lambda c: _width(c - 2 * ends)
+    long = sized.select(F.col("acc").alias("a"), F.col("seq").alias("_a"), width(F.col("_len")).alias("_w"))
+    long = long.select("a", "_a", "_w", F.when(F.col("_w") > 0, F.xxhash64(F.substring("_a", F.lit(ends + 1), F.col("_w")))).otherwise(0).alias("_key"))
+    # Lengths of a from b's to 2 * ends more give these widths.
+    widths = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2 * ends)), lambda i: width(F.col("_len") + i)))
+    short = sized.select(F.col("acc").alias("b"), F.col("seq").alias("_b"), "_len", F.explode(widths).alias("_w"))
+    places = F.sequence(F.lit(1), F.greatest(F.least(F.lit(2 * ends + 1), F.col("_len") - F.col("_w") + 1), F.lit(1)))
+    keys = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.col("_w")))))
+    short = short.select("b", "_b", "_w", F.explode(F.when(F.col("_w") > 0, keys).otherwise(F.array(F.lit(0).cast("bigint")))).alias("_key"))
+    met = long.join(short, ["_w", "_key"]).where((F.col("_a") != F.col("_b")) & S.equivalent_but_ends("_a", "_b", ends))
+    return met.select("a", "b").distinct()
 
 
 def survivors_nearest(edges: DataFrame, alive: DataFrame) -> DataFrame:
@@ -132,13 +170,26 @@ def survivors_nearest(edges: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def close_but_ends(candidates: DataFrame, ends: int, most: int = 10) -> DataFrame:
-    """`q`, `t`, `ed` both ways: different candidates at most `most` edits apart when up to `ends` characters at either end are free."""
-    reach, width = most + 2 * ends, most + 2 * ends + 1
-    bucket = lambda c: F.floor(c / width)
+    """`q`, `t`, `ed` both ways: different candidates at most `most` edits apart when up to `ends` characters at either end are free.
+
+    Of most + 1 windows side by side in the longer one's interior, at least one stands unchanged in the other. Sequences too
+    short for windows of `SEED` characters meet by buckets of lengths.
+    """
+    reach = most + 2 * ends
     sized = candidates.select("acc", "seq", F.length("seq").alias("_len"))
-    long = sized.select(F.col("acc").alias("t"), F.col("seq").alias("_t"), F.col("_len").alias("_lt"), F.explode(F.sequence(bucket(F.greatest(F.col("_len") - reach, F.lit(0))), bucket(F.col("_len")))).alias("_bucket"))
-    short = sized.select(F.col("acc").alias("q"), F.col("seq").alias("_q"), F.col("_len").alias("_lq"), bucket(F.col("_len")).alias("_bucket"))
-    pairs = long.join(short, "_bucket").where((F.col("_lq") >= F.col("_lt") - reach) & ((F.col("_lq") < F.col("_lt")) | ((F.col("_lq") == F.col("_lt")) & (F.col("_q") < F.col("_t")))))
+    width = lambda c: F.when(_width(c - 2 * ends, most + 1) < SEED, 0).otherwise(_width(c - 2 * ends, most + 1))
+    bucket = lambda c: F.floor(c / (reach + 1)).cast("bigint")
+    long = sized.select(F.col("acc").alias("t"), F.col("seq").alias("_t"), F.col("_len").alias("_lt"), width(F.col("_len")).alias("_w"))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.xxhash64(F.substring(F.col("_t"), F.lit(ends + 1) + i * F.col("_w"), F.col("_w"))))
+    lengths = F.sequence(bucket(F.greatest(F.col("_lt") - reach, F.lit(0))), bucket(F.col("_lt")))
+    long = long.select("t", "_t", "_lt", "_w", F.explode(F.array_distinct(F.when(F.col("_w") > 0, cuts).otherwise(lengths))).alias("_key"))
+    widths = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda i: width(F.col("_len") + i)))
+    short = sized.select(F.col("acc").alias("q"), F.col("seq").alias("_q"), F.col("_len").alias("_lq"), F.explode(widths).alias("_w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_lq") - F.col("_w") + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("_q"), i, F.col("_w"))))
+    short = short.select("q", "_q", "_lq", "_w", F.explode(F.array_distinct(F.when(F.col("_w") > 0, grams).otherwise(F.array(bucket(F.col("_lq")))))).alias("_key"))
+    ordered = (F.col("_lq") >= F.col("_lt") - reach) & ((F.col("_lq") < F.col("_lt")) | ((F.col("_lq") == F.col("_lt")) & (F.col("_q") < F.col("_t"))))
+    met = long.select("t", "_lt", "_w", "_key", "_t").join(short, ["_w", "_key"]).where(ordered).select("q", "t", "_q", "_t").distinct()
     # No alignment with free ends costs less than the plain distance without what is free.
-    near = pairs.where(F.expr(f"levenshtein(_q, _t, {most + 4 * ends}) >= 0")).select("q", "t", A.ends_adjusted("_q", "_t", ends).alias("ed")).where("ed is not null")
-    return near.unionByName(near.select(F.col("t").alias("q"), F.col("q").alias("t"), "ed"))
+    near = met.where(F.expr(f"levenshtein(_q, _t, {most + 4 * ends}) >= 0")).select("q", "t", A.ends_adjusted("_q", "_t", ends).alias("ed")).where("ed is not null")
+    both = F.explode(F.array(F.struct("q", "t", "ed"), F.struct(F.col("t").alias("q"), F.col("q").alias("t"), "ed"))).alias("e")
+    return near.select(both).select("e.*")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
 from seqloom.functions import sequences as S
-from seqloom.operators import consensus, graph, neighbors, significance
+from seqloom.operators import consensus, graph, neighbors, records, significance
 from seqloom.operators.lineage import written
+from seqloom.sources import fasta
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,7 +176,7 @@ def symmetric_graph(spark, sf_dir):
 @query(f"WITH {_GRAPH}, isolated AS (SELECT seq FROM nodes EXCEPT (SELECT q FROM near UNION SELECT t FROM near)) SELECT seq, degree FROM nodes SEMI JOIN isolated USING (seq)")
 def isolated_nodes(spark, sf_dir):
     edges = nn_graph(spark, sf_dir)
-    touched = edges.select(F.col("q").alias("seq")).union(edges.select(F.col("t").alias("seq"))).distinct()
+    touched = edges.select(F.explode(F.array("q", "t")).alias("seq")).distinct()
     return neighbors.distinct_sequences(short_reads(spark, sf_dir)).select("seq", "degree").join(touched, "seq", "left_anti")
 
 
@@ -211,33 +212,26 @@ def assignment_first_pick(spark, sf_dir):
 @query(f"WITH {_SHORT}, c AS (SELECT seq, degree, row_number() OVER (ORDER BY seq) - 1 AS i FROM nodes WHERE degree >= 2) SELECT 'transcript_' || i || '_support_' || degree AS acc, seq FROM c")
 def candidate_names(spark, sf_dir):
     kept = neighbors.distinct_sequences(short_reads(spark, sf_dir)).where("degree >= 2")
-    return named(kept).select("acc", "seq")
-
-
-def named(candidates: DataFrame) -> DataFrame:
-    """`acc` from the lexicographic number of `seq` and `degree`; numbered by first characters, so no task orders all."""
-    key = F.substring("seq", 1, 8)
-    keyed = candidates.select("seq", "degree", key.alias("_k"))
-    counts = keyed.groupBy("_k").count()
-    lower = counts.select(F.col("_k").alias("_l"), F.col("count").alias("_c"))
-    before = counts.join(lower, F.col("_l") < F.col("_k"), "left").groupBy("_k").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))
-    number = F.row_number().over(W.partitionBy("_k").orderBy("seq")) - 1 + F.col("_before")
-    return keyed.join(before, "_k").select(F.concat(F.lit("transcript_"), number.cast("string"), F.lit("_support_"), F.col("degree").cast("string")).alias("acc"), "seq", "degree")
+    return records.named(kept).select("acc", "seq")
 
 
 # Profiles and correction
 
 
-_LONG = f"""{_SHORT}, long AS (SELECT CAST(length(seq) AS VARCHAR) AS center, seq AS member, degree, CAST(i - 1 AS INTEGER) AS col, seq[i] AS char FROM nodes, unnest(range(1, length(seq) + 1)) AS u(i)),
+# Sequences whose lengths fall into one bucket of eight, filled up with gaps: columns that most lack are insertions of the rest.
+_LONG = f"""{_SHORT}, padded AS (SELECT CAST(length(seq) // 8 AS VARCHAR) AS center, seq AS member, degree, rpad(seq, CAST(length(seq) // 8 * 8 + 7 AS INTEGER), '-') AS a FROM nodes),
+long AS (SELECT center, member, degree, CAST(i - 1 AS INTEGER) AS col, a[i] AS char FROM padded, unnest(range(1, length(a) + 1)) AS u(i)),
 profile AS (SELECT center, col, char, CAST(sum(degree) AS BIGINT) AS n FROM long GROUP BY center, col, char),
 tops AS (SELECT center, col, min(char) AS top, count(*) > 1 AS ambiguous FROM (SELECT *, max(n) OVER (PARTITION BY center, col) AS m FROM profile) WHERE n = m GROUP BY center, col),
-errors AS (SELECT center, CAST(0 AS BIGINT) AS c_ins, CAST(0 AS BIGINT) AS c_del, CAST(sum(n) AS BIGINT) AS c_subs FROM profile JOIN tops USING (center, col) WHERE NOT ambiguous AND char <> top GROUP BY center)"""
+errors AS (SELECT center, CAST(coalesce(sum(n) FILTER (top = '-'), 0) AS BIGINT) AS c_ins, CAST(coalesce(sum(n) FILTER (top <> '-' AND char = '-'), 0) AS BIGINT) AS c_del,
+  CAST(coalesce(sum(n) FILTER (top <> '-' AND char <> '-'), 0) AS BIGINT) AS c_subs FROM profile JOIN tops USING (center, col) WHERE NOT ambiguous AND char <> top GROUP BY center)"""
 
 
 def _by_length(spark, sf_dir) -> DataFrame:
     nodes = neighbors.distinct_sequences(short_reads(spark, sf_dir))
-    chars = F.filter(F.split("seq", ""), lambda c: c != "")
-    return consensus.positions(nodes.select(F.length("seq").cast("string").alias("center"), F.col("seq").alias("member"), "degree", chars.alias("columns")))
+    bucket = F.floor(F.length("seq") / 8)
+    padded = F.rpad("seq", (bucket * 8 + 7).cast("int"), F.lit("-"))
+    return consensus.positions(nodes.select(bucket.cast("string").alias("center"), F.col("seq").alias("member"), "degree", F.filter(F.split(padded, ""), lambda c: c != "").alias("columns")))
 
 
 @query(f"WITH {_LONG} SELECT * FROM profile")
@@ -256,7 +250,7 @@ def error_types(spark, sf_dir):
     return consensus.error_counts(p, consensus.majorities(p))
 
 
-@query(f"""WITH {_LONG}, minor AS (SELECT center, member, col, top, n / greatest(c_subs, 1) AS f FROM long JOIN tops USING (center, col) JOIN profile USING (center, col, char) JOIN errors USING (center)
+@query(f"""WITH {_LONG}, minor AS (SELECT center, member, col, top, n / greatest(CASE WHEN top = '-' THEN c_ins WHEN char = '-' THEN c_del ELSE c_subs END, 1) AS f FROM long JOIN tops USING (center, col) JOIN profile USING (center, col, char) JOIN errors USING (center)
   WHERE degree <= 1 AND NOT ambiguous AND char <> top)
 SELECT center, member, col, top, round(f, 9) AS frequency FROM (SELECT *, rank() OVER (PARTITION BY center, member ORDER BY f) AS r, count(*) OVER (PARTITION BY center, member) AS n FROM minor) WHERE r <= ceil(n * 0.5)""")
 def minority_rank_cut(spark, sf_dir):
@@ -330,12 +324,14 @@ def worst_edge(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def unassigned(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("read"))
+    return graph.unassigned(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("acc")), labelled).select(F.col("acc").alias("doc_id"))
 
 
-@query("SELECT doc_id, lang, source FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE toxic = 0) USING (doc_id)")
+@query("SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
 def survivors(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", "source").join(table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id"), "doc_id", "left_semi")
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("acc")).agg(F.count("*").alias("n"))
+    return graph.with_reads(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("acc"), "c_name"), counts).select(F.col("acc").alias("c_custkey"), "c_name")
 
 
 @query("""WITH o AS (SELECT o_custkey AS q, o_orderkey % 100 AS t, min(o_totalprice) AS w FROM orders GROUP BY 1, 2), n AS (SELECT c_custkey AS q, CAST(c_nationkey AS BIGINT) AS t, c_acctbal AS w FROM customer)
@@ -346,10 +342,12 @@ def edge_union(spark, sf_dir):
     return graph.united(old, new, ["q", "t"])
 
 
-@query(f"WITH {_GRAPH}, alive AS (SELECT seq FROM nodes WHERE length(seq) % 3 > 0), e AS (SELECT * FROM pairs SEMI JOIN alive ON alive.seq = pairs.q), f AS (SELECT * FROM near SEMI JOIN alive ON alive.seq = near.q), g AS (SELECT * FROM f SEMI JOIN alive ON alive.seq = f.t) SELECT q, t, ed FROM (SELECT *, min(ed) OVER (PARTITION BY q) AS b FROM g) WHERE ed = b")
+@query(f"WITH {_GRAPH}, alive AS (SELECT seq FROM nodes WHERE degree >= 2 UNION SELECT q FROM near WHERE ed <= 3), e AS (SELECT * FROM pairs SEMI JOIN alive ON alive.seq = pairs.q), f AS (SELECT * FROM near SEMI JOIN alive ON alive.seq = near.q), g AS (SELECT * FROM f SEMI JOIN alive ON alive.seq = f.t) SELECT q, t, ed FROM (SELECT *, min(ed) OVER (PARTITION BY q) AS b FROM g) WHERE ed = b")
 def survivors_nearest(spark, sf_dir):
-    alive = neighbors.distinct_sequences(short_reads(spark, sf_dir)).where(F.length("seq") % 3 > 0).select(F.col("seq").alias("acc"))
-    return neighbors.survivors_nearest(nn_graph(spark, sf_dir), alive)
+    # What the support rule keeps, and what is close to its neighbours.
+    edges = written(nn_graph(spark, sf_dir), "graph")
+    supported = neighbors.distinct_sequences(short_reads(spark, sf_dir)).where("degree >= 2").select(F.col("seq").alias("acc"))
+    return neighbors.survivors_nearest(edges, supported.union(edges.where("ed <= 3").select("q")).distinct())
 
 
 @query("SELECT l_shipdate_year AS grp, x[CAST(floor(len(x) * 0.9) AS INTEGER) + 1] AS quantile FROM (SELECT year(l_shipdate) AS l_shipdate_year, list_sort(list(l_extendedprice)) AS x FROM lineitem GROUP BY 1)")
@@ -364,14 +362,26 @@ def indexed_quantile(spark, sf_dir):
 # Outputs
 
 
-@query(f"WITH {_DOCUMENTS} SELECT acc, '>doc_' || acc || chr(10) || substr(md5(seq), 1, 8) AS record, CAST(length(seq) AS BIGINT) AS len FROM reads")
+@query(f"WITH {_DOCUMENTS} SELECT acc, md5('>doc_' || acc || chr(10) || seq) AS record_md5, CAST(length(seq) AS BIGINT) AS len FROM reads")
 def fasta_record(spark, sf_dir):
-    return document_reads(spark, sf_dir).select("acc", F.concat(F.lit(">doc_"), F.col("acc").cast("string"), F.lit("\n"), F.substring(F.md5("seq"), 1, 8)).alias("record"), F.length("seq").cast("bigint").alias("len"))
+    record = fasta.fasta_text(F.concat(F.lit("doc_"), F.col("acc").cast("string")), F.col("seq"))
+    return document_reads(spark, sf_dir).select("acc", F.md5(record).alias("record_md5"), F.length("seq").cast("bigint").alias("len"))
+
+
+@query("""WITH f AS (SELECT c_custkey AS acc, c_name AS seq, count(o_orderkey) AS n, min(o_totalprice / 1000000) AS p FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)
+SELECT acc || '_' || n || '_' || CASE WHEN p IS NULL THEN 'not_tested' ELSE 'tested' END || '_' || n || '_' || n % 3 AS acc, seq FROM f""")
+def final_record(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select(F.col("c_custkey").cast("string").alias("acc"), F.col("c_name").alias("seq"), F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n").isNotNull(), F.lit("tested")).alias("p_value"))
+    return records.final_records(rows.withColumn("n_t", F.col("n")).withColumn("n_variants", F.col("n") % 3))
 
 
-@query(f"WITH {_DOCUMENTS}, c AS (SELECT seq, min(acc) AS candidate FROM reads GROUP BY seq) SELECT acc AS read, candidate, CAST(length(seq) AS BIGINT) AS read_len, CAST(length(seq) AS BIGINT) AS candidate_len FROM reads JOIN c USING (seq)")
+@query(f"WITH {_DOCUMENTS}, c AS (SELECT source, min(doc_id) AS candidate FROM documents JOIN reads ON acc = doc_id GROUP BY source) SELECT r.acc AS read, candidate, length(r.seq) AS read_len, length(k.seq) AS candidate_len FROM reads r JOIN documents ON doc_id = r.acc JOIN c USING (source) JOIN reads k ON k.acc = candidate")
 def cluster_info(spark, sf_dir):
     reads = document_reads(spark, sf_dir)
-    groups = reads.groupBy("seq").agg(F.min("acc").alias("candidate"))
-    size = F.length("seq").cast("bigint")
-    return reads.join(groups, "seq").select(F.col("acc").alias("read"), "candidate", size.alias("read_len"), size.alias("candidate_len"))
+    sources = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("acc"), "source")
+    first = reads.join(sources, "acc").groupBy("source").agg(F.min("acc").alias("candidate"))
+    assignment = reads.join(sources, "acc").join(first, "source").select(F.col("acc").alias("read"), "candidate")
+    final = reads.join(first, F.col("acc") == F.col("candidate"), "left_semi")
+    out = records.cluster_table(assignment, reads, final)
+    return out.select("read", "candidate", F.col("read_len").cast("bigint").alias("read_len"), F.col("candidate_len").cast("bigint").alias("candidate_len"))

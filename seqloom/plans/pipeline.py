@@ -18,7 +18,9 @@ from seqloom.functions import sequences as S
 from seqloom.functions import variants as V
 from seqloom.operators import consensus, graph, neighbors, significance
 from seqloom.operators.lineage import written
-from seqloom.plans.catalog import named
+from seqloom.operators.records import cluster_table as cluster_table
+from seqloom.operators.records import final_records as final_records
+from seqloom.operators.records import named
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def get_candidates(reads: DataFrame, params: Parameters = Parameters()) -> Candi
     survivors = written(survivors.select("acc", "seq", F.col("degree").alias("support")), "survivors")
     assignment = assigned.join(merged, F.col("candidate") == F.col("acc")).select("read", F.col("survivor").alias("candidate")).join(survivors.select(F.col("acc").alias("candidate")), "candidate", "left_semi")
     assignment = written(assignment.select("read", "candidate"), "assignment")
-    return Candidates(survivors, assignment, reads.join(assignment.select(F.col("read").alias("acc")), "acc", "left_anti"))
+    return Candidates(survivors, assignment, graph.unassigned(reads, assignment))
 
 
 def assign(reads: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -166,12 +168,12 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
     while True:
         if state == 1:
             assignment = written(empty, "assigned")
-        open_ = reads.join(assignment.select(F.col("read").alias("acc")), "acc", "left_anti")
+        open_ = graph.unassigned(reads, assignment)
         fresh = assign(open_, alive)
         assignment = written(assignment.unionByName(fresh), "assigned")
         aligned = written(read_alignments(assignment, reads, alive, params), "aligned")
         counts = written(aligned.groupBy(F.col("candidate").alias("acc")).agg(F.count("*").alias("n")), "counts")
-        alive = written(alive.join(counts.select("acc"), "acc", "left_semi"), "alive")
+        alive = written(graph.with_reads(alive, counts), "alive")
         edges = neighbors.survivors_nearest(static, alive.select("acc"))
         if state > 0:
             left = neighbors.survivors_nearest(homopolymer, alive.select("acc"))
@@ -207,16 +209,3 @@ def pipeline(reads: DataFrame, params: Parameters = Parameters()) -> tuple[DataF
     """Candidates from reads, filtered."""
     found = get_candidates(reads, params)
     return stat_filter(reads, found.candidates, params, found.assignment)
-
-
-def final_records(final: DataFrame) -> DataFrame:
-    """`acc` with support, p-value, reads tested and number of variants; `seq`; longest first when written."""
-    fields = ["acc", F.col("n").cast("string"), F.coalesce(F.col("p_value").cast("string"), F.lit("not_tested")), F.coalesce(F.col("n_t").cast("string"), F.lit("0")), F.coalesce(F.col("n_variants").cast("string"), F.lit("0"))]
-    return final.select(F.concat_ws("_", *fields).alias("acc"), "seq")
-
-
-def cluster_table(assignment: DataFrame, reads: DataFrame, final: DataFrame) -> DataFrame:
-    """`read`, `candidate`, `read_len`, `candidate_len`."""
-    r = reads.select(F.col("acc").alias("read"), F.length("seq").alias("read_len"))
-    c = final.select(F.col("acc").alias("candidate"), F.length("seq").alias("candidate_len"))
-    return assignment.join(r, "read").join(c, "candidate").select("read", "candidate", "read_len", "candidate_len")

@@ -6,7 +6,6 @@ Files are split by Spark on record separators, so one large file is read by many
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
@@ -144,8 +143,3 @@ def quality_string(phred: Column | str) -> Column:
     """Integers to a quality string."""
     values = F.col(phred) if isinstance(phred, str) else phred
     return F.array_join(F.transform(values, lambda v: F.char(v + S.PHRED_OFFSET)), "")
-
-
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """`df` with `rank` from 1 in `order`, for small tables such as final candidates."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*order)))
