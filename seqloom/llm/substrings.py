@@ -258,6 +258,7 @@ def _apply(docs: DataFrame, key: str, text: str, window: int, digest: bool) -> D
             )
         nulls = documents.column(text_).is_null().to_pylist()
         texts = [None if null else (x if g.any() else r).decode() for null, x, g, r in zip(nulls, left_over, gone, raws, strict=True)]
+        common.release()
         return documents.select(columns).set_column(at_text, text_, pa.array(texts, pa.string()))
 
     out = left.groupBy("shard").cogroup(right.groupBy("shard")).applyInArrow(run, schema)

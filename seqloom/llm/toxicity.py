@@ -126,7 +126,7 @@ class _Scorer:
                 if fs:
                     found.update(fs)
             out.append(self.bias + sum(self.weights[f] for f in sorted(found)))
-            if len(self.known) > 500_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
         return _sigmoid(np.array(out, float))
 
@@ -233,6 +233,8 @@ def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float =
         weigh = _Scorer(shared.value)
         for batch in batches:
             yield batch.filter(pa.array(weigh(batch.column(at).to_pylist()) < threshold))
+        del weigh
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)
 
