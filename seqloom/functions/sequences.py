@@ -80,6 +80,14 @@ def read_key(acc: Column | str) -> Column:
     return F.substring_index(F.substring_index(_c(acc), " ", 1), "/", 2)
 
 
+def consensus_coordinate(read: Column | str, full: Column | str, at: Column | str) -> Column:
+    """Where the read's base `at` (from 0) stands in the consensus read that holds it; the end counts as its last base; null elsewhere."""
+    whole = _c(full)
+    begin = F.instr(whole, F.replace(_c(read), F.lit("-"), F.lit("")))
+    place = begin - 1 + _c(at)
+    return F.when((begin > 0) & (place <= F.length(whole)), F.least(place, F.length(whole) - 1))
+
+
 def support_of(acc: Column | str) -> Column:
     """The support that a candidate's name carries; null without one."""
     found = F.regexp_extract(_c(acc), r"support_(\d+)", 1)

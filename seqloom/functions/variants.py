@@ -88,6 +88,19 @@ def _changed(window: str, v: Variant) -> str:
     return window[:k] + v.base + window[k:]
 
 
+def qualities_at(template: str, read: str, phred: list[int], places: list[int]) -> list[int]:
+    """Quality of the read's base at each place of its template; at a gap that of the base after it, at the end that of the last."""
+    columns, before, n = _columns_of(template), [], 0
+    for x in read:
+        before.append(n)
+        n += x != "-"
+    out = []
+    for at in places:
+        column = columns[at] if at < len(columns) else len(read) - 1
+        out.append(int(phred[min(before[column], len(phred) - 1)]))
+    return out
+
+
 def error_counts(template: str, read: str) -> tuple[int, int, int]:
     """Insertions, deletions and substitutions of a read inside the mask."""
     start, end = masked(template, read)

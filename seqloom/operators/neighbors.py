@@ -123,6 +123,18 @@ def by_rank(nodes: DataFrame, depth: int) -> DataFrame:
     return _least(pairs.select("q", "t", F.levenshtein("q", "t").alias("ed")).where("ed <= length(q)"))
 
 
+def nearest_by_length(queries: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
+    """As `nearest` of two sets, among the `depth` targets that stand next to the query when targets are sorted by length."""
+    held = targets.select(F.col("seq").alias("t"), F.length("seq").alias("_len"))
+    asked = queries.select(F.col("seq").alias("q"), F.length("seq").alias("_len"))
+    lengths = held.groupBy("_len").count().union(asked.select("_len", F.lit(0).cast("bigint").alias("count")).distinct())
+    before = written(running_before(lengths.groupBy("_len").agg(F.sum("count").alias("count")), "_len", F.floor(F.col("_len") / 256)), "lengths")
+    ranked = held.join(before, "_len").select("t", (F.col("before") + F.row_number().over(W.partitionBy("_len").orderBy("t"))).alias("_rank"))
+    first = F.col("before") - depth // 2 + 1
+    near = asked.join(before, "_len").select("q", F.explode(F.sequence(first, first + depth - 1)).alias("_rank"))
+    return _least(near.join(ranked, "_rank").select("q", "t", F.levenshtein("q", "t").alias("ed")).where("ed <= length(q)"))
+
+
 def neighbour_graph(reads: DataFrame, depth: int | None = None) -> DataFrame:
     """Edges `q`, `t`, `ed` from sequences that one read has to their nearest others; no edges if there is none."""
     nodes = distinct_sequences(reads)

@@ -6,6 +6,7 @@ counts of distances, a threshold and a flag come to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,6 +34,7 @@ class Parameters:
     p_value_threshold: float = 0.01
     min_test_ratio: int = 5
     ignore_ends_len: int = 15
+    max_phred_q_trusted: float = V.TRUSTED
     most_steps: int | None = None  # an error where a loop needs more; None: until it converges
 
     def check(self, steps: int) -> None:
@@ -40,6 +42,10 @@ class Parameters:
             raise RuntimeError(f"not converged after {steps} steps")
 
 
+#: Called after each step with its name and table, for outputs of every step.
+OnStep = Callable[[str, DataFrame], None]
+
+
 @dataclass(frozen=True)
 class Candidates:
     """`candidates` (`acc`, `seq`, `support`), `assignment` (`read`, `candidate`) and `unassigned` (`acc`, `seq`)."""
@@ -58,8 +64,11 @@ def _members(nodes: DataFrame, edges: DataFrame, params: Parameters) -> DataFram
     return written(pairs.withColumn("dropped", dropped), "partition")
 
 
-def get_candidates(reads: DataFrame, params: Parameters = Parameters()) -> Candidates:
-    """Correct reads (`acc`, `seq`) to the consensus of their neighbourhood until nothing changes."""
+def get_candidates(reads: DataFrame, params: Parameters = Parameters(), on_step: OnStep | None = None) -> Candidates:
+    """Correct reads (`acc`, `seq`) to the consensus of their neighbourhood until nothing changes.
+
+    on_step gets `candidates_step_<n>`, the centers of each step (`acc`, `seq`).
+    """
     reads = written(reads.select("acc", "seq").where("seq <> ''"), "reads")
     current, history = reads, []
     while True:
@@ -71,6 +80,8 @@ def get_candidates(reads: DataFrame, params: Parameters = Parameters()) -> Candi
         distances = {r[0]: r[1] for r in kept.groupBy("ed").count().collect()}  # a row for each distance
         total, most = sum(e * n for e, n in distances.items()), max(distances, default=0)
         history.append((distances, total, most))
+        if on_step:
+            on_step(f"candidates_step_{len(history)}", named(pairs.where("center = member").select(F.col("center").alias("seq"), "degree")).select("acc", "seq"))
         stuck = len(history) > 2 and distances == history[-3][0]
         worse = len(history) > 1 and total > history[-2][1] and most > history[-2][2]
         if converged or stuck or worse or total == 0:
@@ -93,10 +104,10 @@ def get_candidates(reads: DataFrame, params: Parameters = Parameters()) -> Candi
     return Candidates(survivors, assignment, graph.unassigned(reads, assignment))
 
 
-def assign(reads: DataFrame, candidates: DataFrame) -> DataFrame:
-    """`read`, `candidate`: nearest candidates, and among those the greedy choice."""
-    distinct = reads.select("seq").distinct()
-    near = neighbors.nearest(distinct, candidates.select("seq").distinct(), self_join=False)
+def assign(reads: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
+    """`read`, `candidate`: nearest candidates (of `depth` next to the read by length), and among those the greedy choice."""
+    distinct, known = reads.select("seq").distinct(), candidates.select("seq").distinct()
+    near = neighbors.nearest(distinct, known, self_join=False) if depth is None else neighbors.nearest_by_length(distinct, known, depth)
     targets = candidates.select(F.col("seq").alias("t"), F.col("acc").alias("candidate"))
     edges = reads.select(F.col("acc").alias("read"), F.col("seq").alias("q")).join(near.select("q", "t"), "q").join(targets, "t")
     return graph.greedy_assignment(edges.select("read", "candidate"))
@@ -104,12 +115,24 @@ def assign(reads: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def read_alignments(assignment: DataFrame, reads: DataFrame, candidates: DataFrame, params: Parameters) -> DataFrame:
     """`read`, `candidate`, `aln_c`, `aln_r` of assigned reads that don't differ by an exon."""
-    rows = assignment.join(reads.select(F.col("acc").alias("read"), F.col("seq").alias("_r")), "read").join(candidates.select(F.col("acc").alias("candidate"), F.col("seq").alias("_c")), "candidate")
+    phred = F.col("phred") if "phred" in reads.columns else F.lit(None).cast("array<int>")
+    rows = assignment.join(reads.select(F.col("acc").alias("read"), F.col("seq").alias("_r"), phred.alias("phred")), "read").join(candidates.select(F.col("acc").alias("candidate"), F.col("seq").alias("_c")), "candidate")
     rate = F.levenshtein("_c", "_r") / F.least(F.length("_c"), F.length("_r"))
     rows = rows.withColumn("_m", F.when(rate <= 0.01, -1).when(rate <= 0.09, -2).otherwise(-4))
     pairs = A.with_alignment(rows, "_c", "_r", "_m", opening=2, extending=0)
     pairs = pairs.where(~S.differs_by_exon("aln_a", "aln_b", params.min_exon_diff, params.ignore_ends_len))
-    return pairs.select("read", "candidate", F.col("aln_a").alias("aln_c"), F.col("aln_b").alias("aln_r"))
+    return pairs.select("read", "candidate", F.col("aln_a").alias("aln_c"), F.col("aln_b").alias("aln_r"), "phred")
+
+
+def error_shares(aligned: DataFrame) -> tuple[float, float, float]:
+    """Shares of insertions, deletions and substitutions among all errors of all reads."""
+
+    @F.pandas_udf("ins bigint, dels bigint, subs bigint")
+    def errors(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([V.error_counts(x, y) for x, y in zip(a, b, strict=True)], columns=["ins", "dels", "subs"])
+
+    sums = aligned.select(errors("aln_c", "aln_r").alias("e")).agg(*(F.coalesce(F.sum(f"e.{c}"), F.lit(0)) for c in ("ins", "dels", "subs"))).first()
+    return V.error_ratios(tuple(sums))
 
 
 @lru_cache(maxsize=4096)
@@ -121,25 +144,34 @@ def edge_variants(cand: str, ref: str) -> tuple[V.Variant, ...]:
     return tuple(one if len(one) <= len(two) else two)
 
 
-def edge_tests(edges: DataFrame, candidates: DataFrame, aligned: DataFrame) -> DataFrame:
-    """`candidate`, `reference`, `k`, `n_t`, `n_variants`, `ln_p`, `p_value`, `ln_factor`, `corrected` of each edge."""
+def edge_tests(edges: DataFrame, candidates: DataFrame, aligned: DataFrame, trusted: float = V.TRUSTED) -> DataFrame:
+    """`candidate`, `reference`, `k`, `n_t`, `n_variants`, `ln_p`, `p_value`, `ln_factor`, `corrected` of each edge.
+
+    A read with qualities (`phred`) has its chance from those at the variants, another one from its own count of errors.
+    """
+    shares = error_shares(aligned) if aligned.where("phred is not null").limit(1).count() else (1.0, 1.0, 1.0)
     seqs = candidates.select("acc", "seq")
     full = edges.join(seqs.withColumnsRenamed({"acc": "candidate", "seq": "_c"}), "candidate").join(seqs.withColumnsRenamed({"acc": "reference", "seq": "_t"}), "reference")
-    reads = aligned.select(F.col("candidate").alias("_owner"), "aln_c", "aln_r")
+    reads = aligned.select(F.col("candidate").alias("_owner"), "aln_c", "aln_r", "phred")
     mine = full.join(reads, F.col("candidate") == F.col("_owner")).withColumn("_own", F.lit(True))
     theirs = full.join(reads, F.col("reference") == F.col("_owner")).withColumn("_own", F.lit(False))
 
     @F.pandas_udf("supports boolean, p double, n_variants int, ins int, dels int, subs int")
-    def trial(c: pd.Series, t: pd.Series, own: pd.Series, template: pd.Series, read: pd.Series) -> pd.DataFrame:
+    def trial(c: pd.Series, t: pd.Series, own: pd.Series, template: pd.Series, read: pd.Series, phred: pd.Series) -> pd.DataFrame:
         rows = []
-        for cand, ref, o, a, r in zip(c, t, own, template, read, strict=True):
+        for cand, ref, o, a, r, q in zip(c, t, own, template, read, phred, strict=True):
             found = list(edge_variants(cand, ref))
             kinds = [v.kind for v in found]
-            p = V.chance(found, V.error_counts(a, r), len(ref)) if found else 0.5
+            if not found:
+                p = 0.5
+            elif q is not None and len(q):
+                p = V.chance_by_quality(found, V.qualities_at(a, r, q, [v.c if o else v.t for v in found]), shares, trusted)
+            else:
+                p = V.chance(found, V.error_counts(a, r), len(ref))
             rows.append((V.supports(a, r, found, bool(o)), p, len(found), kinds.count("I"), kinds.count("D"), kinds.count("S")))
         return pd.DataFrame(rows, columns=["supports", "p", "n_variants", "ins", "dels", "subs"])
 
-    trials = mine.unionByName(theirs).select("candidate", "reference", F.length("_t").alias("_len"), trial("_c", "_t", "_own", "aln_c", "aln_r").alias("_x")).select("candidate", "reference", "_len", "_x.*")
+    trials = mine.unionByName(theirs).select("candidate", "reference", F.length("_t").alias("_len"), trial("_c", "_t", "_own", "aln_c", "aln_r", "phred").alias("_x")).select("candidate", "reference", "_len", "_x.*")
     key = ["candidate", "reference", "_len", "n_variants", "ins", "dels", "subs"]
     bound = significance.tail_bounds(trials, key)
     factor = significance.ln_factor(F.col("_len").cast("bigint"), F.col("ins"), F.col("dels"), F.col("subs"))
@@ -151,16 +183,42 @@ def edge_tests(edges: DataFrame, candidates: DataFrame, aligned: DataFrame) -> D
     return tested.select(untested.columns).unionByName(untested)
 
 
-def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Parameters(), assignment: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def members_of(aligned: DataFrame) -> DataFrame:
+    """`acc`, `members`: which reads a candidate has, as a number and two sums of hashes."""
+    sums = [F.sum(F.shiftrightunsigned(F.xxhash64("read", F.lit(seed)), 28)) for seed in (1, 2)]  # 36 bits, so that sums fit
+    return aligned.groupBy(F.col("candidate").alias("acc")).agg(F.struct(F.count("*").alias("n"), sums[0].alias("a"), sums[1].alias("b")).alias("members"))
+
+
+def tested_anew(pairs: DataFrame, members: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs with `c_members`, `t_members` that have to be tested, and the results of tests whose reads have not changed."""
+    for side, name in (("candidate", "c_members"), ("reference", "t_members")):
+        pairs = pairs.join(members.select(F.col("acc").alias(side), F.col("members").alias(name)), side, "left")
+    if before is None:
+        return pairs, None
+    key = ["candidate", "reference", "c_members", "t_members"]
+    same = before.join(pairs.select(*key), key, "left_semi")
+    return pairs.join(before.select(*key), key, "left_anti"), same
+
+
+def p_value_labels(tests: DataFrame) -> DataFrame:
+    """`label` (accession, k, corrected p-value, reads tested, variants) and `p_value` of tests."""
+    fields = ("candidate", "k", F.least(F.lit(1.0), F.col("corrected")), "n_t", "n_variants")
+    return tests.select(F.concat_ws("_", *((F.col(f) if isinstance(f, str) else f).cast("string") for f in fields)).alias("label"), "p_value")
+
+
+def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Parameters(), assignment: DataFrame | None = None, on_step: OnStep | None = None) -> tuple[DataFrame, DataFrame]:
     """Drop candidates that errors explain, until none is left to drop.
 
-    candidates: `acc`, `seq`, `support`. Returns the final candidates (`acc`, `seq`, `n`, `p_value`, `corrected`, `n_t`,
+    reads: `acc`, `seq` and, if qualities count, `phred`. candidates: `acc`, `seq`, `support`. on_step gets
+    `preprocessed_candidates`, and of each step `p_values_<n>`, `candidates_after_step_<n>` and `remaining_to_align`. Returns the final candidates (`acc`, `seq`, `n`, `p_value`, `corrected`, `n_t`,
     `n_variants`) and the assignment (`read`, `candidate`).
     """
-    reads = written(reads.select("acc", "seq").where("seq <> ''"), "reads")
+    reads = written(reads.select("acc", "seq", *(["phred"] if "phred" in reads.columns else [])).where("seq <> ''"), "reads")
     alive = written(candidates.select("acc", "seq", "support").where(F.col("support").isNull() | (F.col("support") >= params.min_candidate_support)).dropDuplicates(["seq"]), "alive")
     static = written(neighbors.close_but_ends(alive.select("acc", "seq"), params.ignore_ends_len), "static")
     homopolymer = written(neighbors.homopolymer_pairs(alive).select(F.col("a").alias("q"), F.col("b").alias("t"), F.lit(1).alias("ed")), "homopolymer")
+    if on_step:
+        on_step("preprocessed_candidates", alive.select("acc", "seq"))
     state, results = 0, None
     empty = reads.sparkSession.createDataFrame([], "read string, candidate string")
     assignment = written(assignment if assignment is not None else empty, "assigned")
@@ -169,7 +227,7 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
         if state == 1:
             assignment = written(empty, "assigned")
         open_ = graph.unassigned(reads, assignment)
-        fresh = assign(open_, alive)
+        fresh = assign(open_, alive, params.neighbor_search_depth)
         assignment = written(assignment.unionByName(fresh), "assigned")
         aligned = written(read_alignments(assignment, reads, alive, params), "aligned")
         counts = written(aligned.groupBy(F.col("candidate").alias("acc")).agg(F.count("*").alias("n")), "counts")
@@ -180,7 +238,10 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
             edges = graph.united(edges, left, ["q", "t"])
         pairs = edges.select(F.col("q").alias("candidate"), F.col("t").alias("reference"))
         pairs = significance.not_dominated(pairs, counts, params.min_test_ratio).select("candidate", "reference")
-        results = written(edge_tests(pairs, alive, aligned), "tests")
+        fresh_pairs, same = tested_anew(pairs, members_of(aligned), results)
+        fresh_pairs = written(fresh_pairs, "untested")
+        tested = edge_tests(fresh_pairs.select("candidate", "reference"), alive, aligned, params.max_phred_q_trusted).join(fresh_pairs, ["candidate", "reference"])
+        results = written(tested if same is None else tested.unionByName(same), "tests")
         worst = written(significance.worst_edges(results), "worst")
         limit = significance.threshold(worst.where("n_t > 0"), params.p_value_threshold).first()[0]
         drop = worst.where((F.col("n_t") > 0) & ((F.col("k") == 0) | (F.col("corrected") >= limit)))
@@ -188,6 +249,10 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
         dropped = drop.limit(1).count() > 0
         alive = written(alive.join(drop, "acc", "left_anti"), "alive")
         assignment = written(assignment.join(alive.select(F.col("acc").alias("candidate")), "candidate", "left_semi").select("read", "candidate"), "assigned")
+        if on_step:
+            on_step(f"p_values_{steps}", p_value_labels(significance.worst_edges(results)))
+            on_step(f"candidates_after_step_{steps}", alive.select("acc", "seq"))
+            on_step("remaining_to_align", graph.unassigned(reads, assignment).select("acc", "seq"))
         if state == 1:
             state = 2
         elif state == 0 and not dropped:
@@ -205,7 +270,7 @@ def stat_filter(reads: DataFrame, candidates: DataFrame, params: Parameters = Pa
     return out.select("acc", "seq", "n", "p_value", "corrected", "n_t", "n_variants"), final
 
 
-def pipeline(reads: DataFrame, params: Parameters = Parameters()) -> tuple[DataFrame, DataFrame]:
+def pipeline(reads: DataFrame, params: Parameters = Parameters(), on_step: OnStep | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates from reads, filtered."""
-    found = get_candidates(reads, params)
-    return stat_filter(reads, found.candidates, params, found.assignment)
+    found = get_candidates(reads, params, on_step)
+    return stat_filter(reads, found.candidates, params, found.assignment, on_step)

@@ -98,9 +98,9 @@ def fasta_text(acc: Column | str, seq: Column | str) -> Column:
     return F.concat(F.lit(">"), acc if isinstance(acc, Column) else F.col(acc), F.lit("\n"), seq if isinstance(seq, Column) else F.col(seq))
 
 
-def write_fasta(df: DataFrame, path: str, order: list | None = None) -> None:
+def write_fasta(df: DataFrame, path: str, order: list | None = None, mode: str = "error") -> None:
     """`acc`, `seq` as FASTA files, in `order` (by accession if none is given) over the files."""
-    df.orderBy(*(order or ["acc"])).select(fasta_text("acc", "seq").alias("value")).write.text(path)
+    df.orderBy(*(order or ["acc"])).select(fasta_text("acc", "seq").alias("value")).write.mode(mode).text(path)
 
 
 def write_fastq(df: DataFrame, path: str, by: str | None = None) -> None:
