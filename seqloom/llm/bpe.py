@@ -126,9 +126,10 @@ class Codec:
         self.byte_lengths = np.array([len(x) for x in table], dtype=np.int64)
         self.byte_starts = np.cumsum(self.byte_lengths) - self.byte_lengths
         self.bytes = np.frombuffer(b"".join(table), dtype=np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Let go of all pieces."""
         self.slots = _Slots()
         self.parts: dict[str, tuple[int, ...]] = {}
         self.starts, self.lengths = np.zeros(1024, np.int32), np.zeros(1024, np.int32)
@@ -215,7 +216,7 @@ class Codec:
         for i, a, b in zip(regular, ends[:-1].tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
         if self.held > REMEMBERED_BYTES:
-            self._forget()
+            self.forget()
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -263,6 +264,8 @@ def encode(df: DataFrame, vocabulary: Vocabulary, text: str = "text", with_offse
                 both = [own.offsets(t, i) for t, i in zip(texts, ids, strict=True)]
                 columns += [_lists([x[k] for x in both], pa.int32()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in keep + new])
+        own.forget()
+        common.release()
 
     return df.mapInArrow(run, T.StructType(keep + new))
 
@@ -310,6 +313,8 @@ def digests(df: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: st
                 ],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
+        common.release()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -131,7 +131,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def row_groups(offsets: np.ndarray, limit: int = 2 << 20):
+def row_groups(offsets: np.ndarray, limit: int = 512 << 10):
     """Ranges of rows of about `limit` bytes, a longer row alone, so that working arrays stay small."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -64,6 +64,8 @@ def pieces(df: DataFrame, vocabulary: bpe.Vocabulary, capacity: int = CAPACITY,
             if with_ids:
                 columns.append(bpe._lists(parts, pa.int64()))
             yield pa.RecordBatch.from_arrays(columns, names)
+        own.forget()
+        common.release()
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids

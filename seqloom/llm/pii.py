@@ -303,6 +303,7 @@ def redact(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in batches:
             clean = [None if t is None else redacted(t, spans_of(t, shared.value)[1]) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, text, pa.array(clean, pa.string()))
+        common.release()
 
     return docs.mapInArrow(run, docs.schema)
 

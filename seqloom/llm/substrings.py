@@ -92,6 +92,7 @@ def runs(docs: DataFrame, key: str, text: str, window: int = WINDOW, phrase: int
                     [pa.array(ids[a:b][row[begin]].astype(np.int64)), _signed(seeds[begin]), _signed(run_a), _signed(run_b), pa.array((begin - first[row[begin]]).astype(np.int32)), pa.array((stop - begin).astype(np.int32))],
                     ["doc", "seed", "run_a", "run_b", "at", "n"],
                 )
+        common.release()
 
     return docs.where(F.col(key).isNotNull()).select(key, text).mapInArrow(run, "doc bigint, seed bigint, run_a bigint, run_b bigint, at int, n int")
 
@@ -112,6 +113,7 @@ def packed_texts(docs: DataFrame, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             yield batch.set_column(at, text, _packed(batch.column(at)))
+        common.release()
 
     return docs.mapInArrow(run, schema)
 
@@ -135,6 +137,7 @@ def _of_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, make, sche
                 raw = np.frombuffer(_unpack(blob), np.uint8)
                 starts, ends, _ = common.words_of(raw, np.array([0, len(raw)]))
                 yield make(doc, raw, starts, ends, np.array([s["at"] for s in spans]), np.array([s["n"] for s in spans]))
+        common.release()
 
     return joined.mapInArrow(run, schema)
 
