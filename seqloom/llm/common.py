@@ -13,7 +13,7 @@ from seqloom.operators.lineage import written as materialize  # noqa: F401  line
 
 #: Rows and bytes of one Arrow batch; bounds what a Python worker holds at a time.
 BATCH_ROWS = 2048
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _U = np.uint64
 
