@@ -8,7 +8,9 @@ over tokens come back whole.
 Most of a text is words that were met before. A text whose white space is single
 spaces and line feeds falls apart before each of them into pieces that no match of
 the splitting pattern crosses, so a piece's ids do not depend on its neighbours; they
-are encoded once and remembered. Any other text goes to the library whole.
+are encoded once and remembered. Any other text, and one that holds the string of a
+special token which the vocabulary does not take for plain text, goes to the library
+whole.
 
 Defined results: null and empty texts have no ids; repeated rows are repeated; very
 long texts are whole; an empty table gives an empty table; further columns are left
@@ -51,6 +53,8 @@ class Vocabulary:
 
     path: str
     pattern: str = public_tokenizers.PATTERN
+    #: Whether the strings of special tokens inside a text are plain text; the library by itself takes them for those tokens.
+    plain: bool = False
 
 
 def byte_characters() -> list[str]:
@@ -118,7 +122,9 @@ class Codec:
             self.tokenizer = _from_ranks(vocabulary.path, vocabulary.pattern)
         else:
             self.tokenizer = Tokenizer.from_file(vocabulary.path)
-            self.tokenizer.encode_special_tokens = True
+            self.tokenizer.encode_special_tokens = vocabulary.plain
+        added = [] if vocabulary.plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.irregular = re.compile("|".join([_IRREGULAR.pattern, *added]))
         self.model = self.tokenizer.model
         self.matches = regex.compile(vocabulary.pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")).findall
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -194,7 +200,7 @@ class Codec:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _IRREGULAR.search(text):
+            if self.irregular.search(text):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             keys = text.replace("\n", " \n").split(" ")

@@ -76,7 +76,6 @@ def test_bpe_operator_keeps_columns_and_round_trips(spark, edges):
     out = bpe.decode(bpe.encode(edges.withColumn("ids", F.lit("clash")), vocabulary, with_offsets=True), vocabulary)
     assert {"score", "piece", "ids", "starts", "ends", "decoded"} <= set(out.columns)
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
     for r in out.collect():
         text = r["text"] or ""
         assert r["ids"] == whole.encode(text, add_special_tokens=False).ids
@@ -90,6 +89,19 @@ def test_bpe_white_space(text):
     assert own.encode([text])[0].tolist() == tiktoken_encoding().encode_ordinary(text)
 
 
+MARKED = ["<|endoftext|>", "<|endoftext|> a b", "a b<|endoftext|>", "hello <|endoftext|> world", "a\n<|endoftext|>\nb <|endoftext", "one two " * 40_000 + "<|endoftext|> three"]
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_bpe_special_tokens_inside_texts(spark, plain):
+    whole = Tokenizer.from_file(JSON)
+    whole.encode_special_tokens = plain
+    out = bpe.encode(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string"), bpe.Vocabulary(JSON, plain=plain)).collect()
+    assert len(out) == len(MARKED)
+    for r in out:
+        assert r["ids"] == whole.encode(r["text"], add_special_tokens=False).ids and (50256 in r["ids"]) != plain
+
+
 # Substring dedup
 
 
@@ -271,7 +283,6 @@ def test_jaccard_bounds():
 
 def check_packing(rows, docs):
     whole = Tokenizer.from_file(JSON)
-    whole.encode_special_tokens = True
     by_doc = defaultdict(list)
     for r in rows:
         by_doc[r["doc_id"]].append(r)
@@ -297,7 +308,8 @@ def check_packing(rows, docs):
 
 def test_packing(spark, docs, edges, empty):
     vocabulary = bpe.Vocabulary(JSON)
-    for df in (docs, edges):
+    marked = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    for df in (docs, edges, marked):
         n, total = check_packing(packing.packed(df, vocabulary).collect(), texts_of(df))
         assert n <= 1.05 * -(-total // 2048) + 1
     assert packing.packed(empty, vocabulary).count() == 0
