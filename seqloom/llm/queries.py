@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from seqloom.llm.ann import op9_additive_quantisation
+from seqloom.llm.bounded import op13_bounded_space_packing
 from seqloom.llm.bpe import op1_byte_bpe
 from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
 from seqloom.llm.jaccard import OP5_SQL, op5_size_aware_jaccard
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_dictionary_warc": op8_dictionary_warc,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op13_bounded_space_packing": op13_bounded_space_packing,
 }
 
 ORACLE_SQL = {
