@@ -6,6 +6,7 @@ from seqloom.llm.ann import op9_additive_quantisation
 from seqloom.llm.bounded import op13_bounded_space_packing
 from seqloom.llm.bpe import op1_byte_bpe
 from seqloom.llm.chat import OP10_SQL, op10_snapshot_collapse
+from seqloom.llm.crosstok import op12_postings_cogroup
 from seqloom.llm.jaccard import OP5_SQL, op5_size_aware_jaccard
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.pii import op4_weak_supervision_pii
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_dictionary_warc": op8_dictionary_warc,
     "op9_additive_quantisation": op9_additive_quantisation,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op12_postings_cogroup": op12_postings_cogroup,
     "op13_bounded_space_packing": op13_bounded_space_packing,
 }
 
