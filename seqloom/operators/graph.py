@@ -33,16 +33,17 @@ def united(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
 
 
-def numbered(nodes: DataFrame, node: str = "node") -> DataFrame:
-    """`nodes` (distinct) with `id`, in an order by hashes that has nothing to do with how nodes are linked."""
-    keyed = nodes.withColumn("_h", F.xxhash64(node)).repartition("_h").sortWithinPartitions("_h", node).drop("_h")
+def numbered(nodes: DataFrame) -> DataFrame:
+    """`nodes` (`node`, distinct) with `id`, in an order by hashes that has nothing to do with how nodes are linked."""
+    keyed = nodes.withColumn("_h", F.xxhash64("node")).repartition("_h").sortWithinPartitions("_h", "node").drop("_h")
     return written(keyed.withColumn("id", F.monotonically_increasing_id()), "numbered")
 
 
-def _with_ids(edges: DataFrame, ids: DataFrame, node: str, a: str, b: str) -> DataFrame:
-    """Distinct `x`, `y`: the edges from `a` to `b` by number, without loops."""
-    of = lambda c, name: ids.select(F.col(node).alias(c), F.col("id").alias(name))
-    return edges.select(a, b).join(of(a, "x"), a).join(of(b, "y"), b).where("x <> y").select("x", "y").distinct()
+def _with_ids(edges: DataFrame, ids: DataFrame, a: str, b: str) -> DataFrame:
+    """Distinct `x`, `y`: the edges from `a` to `b` by number, without loops. ids: `node`, `id`."""
+    of = lambda c, name: ids.select(F.col("node").alias(c), F.col("id").alias(name))
+    both = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b")).join(of("_a", "_x"), "_a").join(of("_b", "_y"), "_b")
+    return both.where("_x <> _y").select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct()
 
 
 def _until_still(first: DataFrame, step, label: str) -> DataFrame:
@@ -74,14 +75,14 @@ def least_reaching(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "q", b: str = "t") -> DataFrame:
     """`node`, `component` (least node of its weakly connected component), by least labels and pointer jumping."""
-    ids = numbered(nodes.select(node).distinct(), node)
-    one_way = _with_ids(edges, ids, node, a, b)
+    ids = numbered(nodes.select(F.col(node).alias("node")).distinct())
+    one_way = _with_ids(edges, ids, a, b)
     ways = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("e")
     both = written(one_way.select(ways).select("e.*").distinct(), "edges")
     labels = least_reaching(ids, both)
     discard(both)
     named = ids.join(labels, "id")
-    return named.join(named.groupBy("label").agg(F.min(node).alias("component")), "label").select(node, "component")
+    return named.join(named.groupBy("label").agg(F.min("node").alias("component")), "label").select(F.col("node").alias(node), "component")
 
 
 def cycles(ids: DataFrame, edges: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def partition(nodes: DataFrame, edges: DataFrame, by_neighbours: bool = True) ->
     number of its direct neighbours left becomes the center (ties: the lesser node), all others its members, and all leave.
     """
     ids = numbered(nodes.select("node", F.col("degree").cast("bigint").alias("degree")))
-    links = written(_with_ids(edges, ids, "node", "t", "q"), "links")
+    links = written(_with_ids(edges, ids, "t", "q"), "links")
     scc = written(cycles(ids, links), "scc")
     of = lambda c, name, table=scc, to="scc": table.select(F.col("id").alias(c), F.col(to).alias(name))
     dag = written(links.join(of("x", "_x"), "x").join(of("y", "_y"), "y").where("_x <> _y").select(F.col("_x").alias("x"), F.col("_y").alias("y")).distinct(), "edges")
