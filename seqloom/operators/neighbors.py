@@ -1,25 +1,28 @@
 """Similarity joins of sequences: nearest neighbours with ties, and pairs that are the same but for their ends.
 
-A nearest neighbour within a few edits is found by equi-joins: a sequence that is cut
-into one segment more than there are edits keeps one of them whole, so a neighbour has
-that segment at nearly the same place. Rounds allow more edits, each for the queries
-that are still without a neighbour. Only what is left then is compared with all
-sequences whose length is within a bound, the distance to sequences next to it by
-length; those meet by buckets of lengths.
+A nearest neighbour that is not far is found by equi-joins: of k + 1 windows side by side in a sequence one stands unchanged in
+whatever is within k edits of it, at most k characters away. Rounds double k, each for the queries that are still without a
+neighbour, as long as windows single something out. What is left then is far from everything, for its length. It is dealt in
+blocks with the targets whose length is within a bound, the distance to sequences next to it by length. In a block a count
+of grams bounds every distance from below, and only targets whose bound is within the best distance so far are measured.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
+from seqloom.functions import distance as D
 from seqloom.functions import sequences as S
-from seqloom.operators.lineage import written
+from seqloom.operators.lineage import discard, written
 
-#: Edits up to which neighbours are found by segments, round by round; lengths of a bucket; characters of a segment at least.
-NEAR, BUCKET, LEAST_SEGMENT = (1, 3, 7), 8, 8
+#: Edits of the first round; characters of a window at least, and at most; lengths of a band; sequences of a block, about.
+FIRST, LEAST_WINDOW, MOST_WINDOW, BAND, BLOCK = 1, 8, 64, 8, 500
 #: Characters that a window must have at least to be looked up.
 SEED = 8
 
@@ -29,39 +32,52 @@ def distinct_sequences(reads: DataFrame) -> DataFrame:
     return reads.groupBy("seq").agg(F.count("*").alias("degree"), F.max("acc").alias("acc"))
 
 
-def _cuts(length: Column, parts: int, i: Column) -> tuple[Column, Column]:
-    """First character (from 0) and length of the i-th of `parts` even segments."""
-    small, more = F.floor(length / parts), length % parts
-    begin = i * small + F.greatest(F.lit(0), i - (parts - more))
-    return begin.cast("int"), (small + (i >= parts - more).cast("int")).cast("int")
-
-
-def _pairs_by_segment(queries: DataFrame, targets: DataFrame, near: int) -> DataFrame:
-    """Pairs (`q`, `t`) that may be within `near` edits of each other."""
-    parts = near + 1
-    i = F.explode(F.sequence(F.lit(0), F.lit(near)))
-    begin, size = _cuts(F.col("_len"), parts, F.col("_i"))
-    held = targets.select(F.col("seq").alias("t"), F.length("seq").alias("_len"), i.alias("_i"))
-    held = held.select("t", "_len", "_i", F.xxhash64(F.col("t").substr(begin + 1, size)).alias("_segment"))
-    asked = queries.select(F.col("seq").alias("q"), i.alias("_i"), F.length("seq").alias("_own"))
-    asked = asked.select("q", "_i", "_own", F.explode(F.sequence(F.col("_own") - near, F.col("_own") + near)).alias("_len")).where("_len >= 0")
-    # The edits before the first whole segment shift it by at most i, those after it leave at most near - i to even the lengths out.
-    even, i_ = F.col("_own") - F.col("_len"), F.col("_i")
-    lowest, highest = F.greatest(-i_, even - (near - i_)), F.least(i_, even + (near - i_))
-    shifts = F.when(lowest <= highest, F.sequence(lowest, F.greatest(lowest, highest))).otherwise(F.array().cast("array<int>"))
-    asked = asked.select("q", "_i", "_own", "_len", F.explode(shifts).alias("_shift"))
-    at = (begin + F.col("_shift")).alias("_at")
-    asked = asked.select("q", "_i", "_len", at, size.alias("_size"), "_own").where("_at >= 0 and _at + _size <= _own")
-    asked = asked.select("q", "_i", "_len", F.xxhash64(F.col("q").substr(F.col("_at") + 1, F.col("_size"))).alias("_segment")).distinct()
-    return asked.join(held, ["_i", "_len", "_segment"]).select("q", "t").distinct()
-
-
-def _pairs_by_length(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs whose lengths differ by at most the query's `bound`."""
-    bucket = lambda c: F.floor(c / BUCKET)
-    asked = queries.select(F.col("seq").alias("q"), "bound", F.explode(F.sequence(bucket(F.greatest(F.length("seq") - F.col("bound"), F.lit(0))), bucket(F.length("seq") + F.col("bound")))).alias("_bucket"))
-    held = targets.select(F.col("seq").alias("t"), bucket(F.length("seq")).alias("_bucket"))
-    return asked.join(held, "_bucket").where(F.abs(F.length("q") - F.length("t")) <= F.col("bound")).select("q", "t", "bound")
+def _numbered(sequences: DataFrame) -> DataFrame:
+    """`id`, `seq`, `len` of distinct sequences (`seq`)."""
+    return written(sequences.select(F.monotonically_increasing_id().alias("id"), "seq", F.length("seq").alias("len")), "sequences")
+
+
+def _pairs_by_window(queries: DataFrame, targets: DataFrame, near: int) -> DataFrame:
+    """Pairs (`q`, `t`, ids) of numbered sequences that may be within `near` edits of each other."""
+    width = lambda c: _width(c, near + 1, MOST_WINDOW)
+    held = targets.select("id", "seq", "len", width(F.col("len")).alias("_w")).where(F.col("_w") >= LEAST_WINDOW)
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(near)), lambda i: F.xxhash64(F.substring(F.col("seq"), i * F.col("_w") + 1, F.col("_w"))))
+    held = held.select(F.col("id").alias("t"), F.col("len").alias("_lt"), "_w", F.posexplode(cuts).alias("_i", "_key"))
+    held = held.select("t", "_lt", "_w", "_key", (F.col("_i") * F.col("_w")).alias("_at"))
+    # Lengths within `near` of the query's have one of these two widths, as near is less than an eighth of them.
+    widths = F.array_distinct(F.array(width(F.col("len") - near), width(F.col("len") + near)))
+    asked = queries.select("id", "seq", "len", F.explode(widths).alias("_w")).where((F.col("_w") >= LEAST_WINDOW) & (F.col("_w") <= F.col("len")))
+    every = F.transform(F.sequence(F.lit(1), F.col("len") - F.col("_w") + 1), lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.col("_w"))))
+    asked = asked.select(F.col("id").alias("q"), F.col("len").alias("_lq"), "_w", F.posexplode(every).alias("_from", "_key"))
+    close = (F.abs(F.col("_lq") - F.col("_lt")) <= near) & (F.abs(F.col("_from") - F.col("_at")) <= near)
+    return asked.join(held, ["_w", "_key"]).where(close).select("q", "t").distinct()
+
+
+def _far(left: DataFrame, targets: DataFrame, self_join: bool) -> DataFrame:
+    """`q`, `t`, `ed` for queries (`id`, `seq`, `len`) that no round has found a neighbour for."""
+    # Whatever is near by length bounds the distance; a length that nothing has leaves the query's own.
+    some = targets.groupBy("len").agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
+    away = lambda c: F.when(F.col(c) != F.col("seq"), F.levenshtein("seq", c)) if self_join else F.levenshtein("seq", c)
+    bounded = left.join(some, "len", "left").select("seq", "len", F.coalesce(F.least(away("_low"), away("_high"), F.col("len")), F.col("len")).alias("bound"))
+    band = lambda c: F.floor(c / BAND)
+    bands = band(F.greatest(F.col("len") - F.col("bound"), F.lit(0))), band(F.col("len") + F.col("bound"))
+    asked = written(bounded.select("seq", "bound", F.explode(F.sequence(*bands)).alias("band")), "asked")
+    # Targets and queries of a band in blocks: each block of one meets each block of the other.
+    sizes = lambda df, name: df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    held = targets.select("seq", band(F.col("len")).alias("band"))
+    ways = sizes(held, "_held").join(sizes(asked, "_asked"), "band")
+    both = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("seq"), F.col(n))
+    asked = asked.join(ways, "band").select("seq", "bound", "band", mine("_asked").alias("a"), both("_held").alias("h"))
+    held = held.join(ways, "band").select("seq", "band", both("_asked").alias("a"), mine("_held").alias("h"))
+
+    def run(queries: pa.Table, others: pa.Table) -> pa.Table:
+        q, t = queries.column("seq").to_pylist(), others.column("seq").to_pylist()
+        found, _ = D.nearest_among(q, queries.column("bound").to_pylist(), t, self_join)
+        return pa.table({"q": pa.array([q[i] for i, _, _ in found], pa.string()), "t": pa.array([t[k] for _, k, _ in found], pa.string()), "ed": pa.array([d for *_, d in found], pa.int32())})
+
+    cell = ["band", "a", "h"]
+    return _least(asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(run, "q string, t string, ed int"))
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -70,32 +86,36 @@ def _least(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_best", best).where("ed = _best").drop("_best")
 
 
-def nearest(queries: DataFrame, targets: DataFrame, self_join: bool, near: tuple[int, ...] = NEAR) -> DataFrame:
+def nearest(queries: DataFrame, targets: DataFrame, self_join: bool, share: float | None = None) -> DataFrame:
     """`q`, `t`, `ed`: each query's targets at the least edit distance, ties included.
 
     Both have distinct `seq`. In a self join a sequence is not its own neighbour (ed > 0); otherwise equal sequences
-    are at distance 0. Distances go up to the query's length.
+    are at distance 0. Distances go up to the query's length, or, with `share` (at most a twentieth), to that share of it; then no
+    query meets targets that it has no window in common with.
     """
-    found, left = None, queries.select("seq")
-    for edits in near:
-        # Segments shorter than a few characters single nothing out; those queries are left to the lengths.
-        able = left.where(F.length("seq") - edits >= LEAST_SEGMENT * (edits + 1))
-        close = _pairs_by_segment(able, targets, edits)
+    held = _numbered(targets.select("seq"))
+    left = _numbered(queries.select("seq"))
+    longest = left.agg(F.max("len")).first()[0] or 0
+    seq = lambda df, c: df.select(F.col("id").alias(c), F.col("seq").alias(f"_{c}"))
+    found, edits = [], FIRST
+    while longest >= LEAST_WINDOW * (edits + 1) and (share is None or edits <= 2 * share * longest):
+        # Windows shorter than a few characters single nothing out; those queries are left.
+        able = F.col("len") - edits >= LEAST_WINDOW * (edits + 1)
+        within = F.lit(edits) if share is None else F.least(F.lit(edits), F.floor(F.col("len") * share).cast("int"))
+        if share is not None:
+            able &= 2 * F.floor(F.col("len") * share) > edits
+        pairs = _pairs_by_window(left.where(able), held, edits).join(seq(left.withColumn("seq", F.struct("seq", within.alias("most"))), "q"), "q").join(seq(held, "t"), "t")
+        pairs = pairs.select(F.col("q").alias("id"), F.col("_q.seq").alias("q"), F.col("_t").alias("t"), F.col("_q.most").alias("_most"))
         if self_join:
-            close = close.where("q <> t")
-        close = written(_least(close.withColumn("ed", F.expr(f"levenshtein(q, t, {edits})")).where("ed >= 0 and ed <= length(q)")), "near")
-        found = close if found is None else found.unionByName(close)
-        left = written(left.join(close.select(F.col("q").alias("seq")).distinct(), "seq", "left_anti"), "left")
-    # Whatever is near by length bounds the distance; a length that nothing has leaves the query's own.
-    some = targets.groupBy(F.length("seq").alias("_len")).agg(F.min("seq").alias("_low"), F.max("seq").alias("_high"))
-    rough = left.withColumn("_len", F.length("seq")).join(some, "_len", "left")
-    away = lambda c: F.when(F.col(c) != F.col("seq"), F.levenshtein("seq", c)) if self_join else F.levenshtein("seq", c)
-    bounded = rough.select("seq", F.coalesce(F.least(away("_low"), away("_high")), F.length("seq")).alias("bound"))
-    far = _pairs_by_length(bounded, targets)
-    if self_join:
-        far = far.where("q <> t")
-    far = far.withColumn("ed", F.expr("levenshtein(q, t, bound)")).where("ed >= 0 and ed <= length(q)").select("q", "t", "ed")
-    return found.unionByName(_least(far))
+            pairs = pairs.where("q <> t")
+        close = pairs.withColumn("ed", F.expr("levenshtein(q, t, _most)")).where("ed >= 0 and ed <= length(q)").select("id", "q", "t", "ed")
+        found.append(written(_least(close), "near"))
+        rest = written(left.join(found[-1].select("id").distinct(), "id", "left_anti"), "left")
+        discard(left)
+        left, edits = rest, 2 * edits + 1
+    if share is None:
+        found.append(_far(left, held, self_join))
+    return reduce(DataFrame.unionByName, [x.select("q", "t", "ed") for x in found])
 
 
 def running_before(counts: DataFrame, key: str, coarse: Column) -> DataFrame:

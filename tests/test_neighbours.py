@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
+from seqloom.functions import distance as D
 from seqloom.functions import sequences as S
 from seqloom.operators import neighbors
+from seqloom.plans import catalog
 
 
 def variants_of(rng, base, many, edits, ends):
@@ -68,3 +70,60 @@ def test_running_sums(spark):
     rows = [(k, 1 + k % 3) for k in (0, 1, 2, 255, 256, 257, 900, 5000)]
     got = dict(map(tuple, neighbors.running_before(spark.createDataFrame(rows, "k long, count long"), "k", F.floor(F.col("k") / 256)).collect()))
     assert got == {k: sum(n for j, n in rows if j < k) for k, _ in rows}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_distances_by_bit_vectors():
+    rng = random.Random(6)
+    texts = ["", "A", "é😀x"] + ["".join(rng.choice("ACGé") for _ in range(rng.choice([3, 40, 63, 64, 65, 127, 128, 130, 200]))) for _ in range(30)]
+    codes, lengths, alphabet = D.codes_of(texts)
+    counts = D.profiles(codes, lengths, len(alphabet))
+    for i, s in enumerate(texts):
+        want = [distance(s, t) for t in texts]
+        assert D.distances(codes[i, : lengths[i]], codes, lengths, len(alphabet)).tolist() == want
+        assert (D.least_distances(counts[i], lengths[i], counts, lengths) <= want).all()
+
+
+@pytest.mark.parametrize("self_join", [True, False])
+def test_far_neighbours(spark, self_join, monkeypatch):
+    """Reads that resemble nothing, in small blocks and bands."""
+    monkeypatch.setattr(neighbors, "BLOCK", 7)
+    rng = random.Random(self_join)
+    lone = {"".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 5, 12, 30, 45, 70]))) for _ in range(90)}
+    near = set(sequences(9, (30, 66), 0))
+    queries, targets = sorted(lone | near), sorted(lone | near if self_join else near | {"".join(rng.choice("ACGT") for _ in range(9)) for _ in range(40)})
+    got = {tuple(r) for r in neighbors.nearest(frame(spark, queries).select("seq"), frame(spark, targets).select("seq"), self_join).collect()}
+    want = set()
+    for q in queries:
+        away = {t: distance(q, t) for t in targets if not (self_join and t == q)}
+        best = min(away.values())
+        want |= {(q, t, d) for t, d in away.items() if d == best <= len(q)}
+    assert got == want
+
+
+def test_neighbours_within_a_share(spark):
+    seqs = sequences(11, (40, 100, 101, 400, 900), 0)
+    found = frame(spark, seqs).select("seq")
+    got = {tuple(r) for r in neighbors.nearest(found, found, True, share=0.05).collect()}
+    want = set()
+    for q in seqs:
+        away = {t: distance(q, t) for t in seqs if t != q and abs(len(t) - len(q)) <= len(q) // 20}
+        best = min(away.values(), default=len(q))
+        want |= {(q, t, d) for t, d in away.items() if d == best <= len(q) // 20}
+    assert got == want and got
+
+
+def test_few_pairs_are_measured(spark):
+    """Of the reads of the queries, whether or not a window finds their neighbours: less than a twentieth of all pairs."""
+    reads = sorted(r["seq"] for r in catalog.short_reads(spark, "/root/testdata/sf0.1").select("seq").distinct().collect())
+    some = reads[::10]
+    found, measured = D.nearest_among(some, [len(r) for r in some], reads, True)
+    assert {i for i, *_ in found} == set(range(len(some))) and measured < 0.05 * len(some) * len(reads)

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from seqloom.operators import graph
+from seqloom.operators import graph, neighbors
+from seqloom.plans import catalog
 
 
 def greedy_partition(weights, links, by_neighbours):
@@ -113,3 +114,14 @@ def test_cycles(spark):
     for a in nodes:
         for b in nodes:
             assert (scc[a] == scc[b]) == (b in reached[a] and a in reached[b])
+
+
+def test_partition_of_the_reads(spark):
+    """The registered query against the sequential rule on its own graph."""
+    folder = "/root/testdata/sf0.01"
+    weights = {r["seq"]: r["degree"] for r in neighbors.distinct_sequences(catalog.short_reads(spark, folder)).collect()}
+    links = {}
+    for r in catalog.nn_graph(spark, folder).collect():
+        links.setdefault(r["t"], set()).add(r["q"])
+    got = sorted(tuple(r) for r in catalog.greedy_partition(spark, folder).select("center", "member", "weight", "degree").collect())
+    assert got == sorted((c, m, total, weights[m]) for c, m, total in greedy_partition(weights, links, True))
