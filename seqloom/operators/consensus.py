@@ -1,18 +1,24 @@
 """Consensus correction over position-wise profiles.
 
 `profile`, `majorities`, `error_counts` and `to_replace` work on any long table of
-`center`, `member`, `col`, `char`, `degree`; `corrected` puts them together for a
-partition's aligned members.
+`center`, `member`, `col`, `char`, `degree`. `corrected` does the same for a
+partition's aligned members without a row for each character: a center's profile is
+an array of counters, counted by several tasks where it has many members, and merged.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import alignment as A
-from seqloom.operators.lineage import written
+from seqloom.functions import profiles as P
+from seqloom.operators.lineage import discard, written
+
+#: Members of one center that one task counts or corrects, about.
+MEMBERS = 2000
 
 
 def positions(members: DataFrame) -> DataFrame:
@@ -60,16 +66,108 @@ def aligned(partitions: DataFrame, ed: DataFrame | None = None) -> DataFrame:
     return A.with_alignment(measured.withColumn("_mismatch", mismatch), "center", "member", "_mismatch", opening=2, extending=0).drop("_mismatch").withColumnsRenamed({"aln_a": "aln_c", "aln_b": "aln_m"})
 
 
+def _batches(rows: list[tuple], schema: pa.Schema):
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+def _widest(pairs: DataFrame) -> DataFrame:
+    """`center`, `widest`: of each slot of a center in which some member has more than one character, the longest (the lesser, of several)."""
+    schema = pa.schema([("center", pa.string()), ("slot", pa.int32()), ("s", pa.string())])
+
+    def run(batches):
+        for batch in batches:
+            best: dict[tuple[str, int], str] = {}
+            for center, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for slot, s in P.insertions(b, a):
+                    best[center, slot] = min(best.get((center, slot), s), s, key=lambda x: (-len(x), x))
+            yield from _batches([(*k, s) for k, s in best.items()], schema)
+
+    found = pairs.select("center", "aln_c", "aln_m").mapInArrow(run, "center string, slot int, s string")
+    longest = found.groupBy("center", "slot").agg(F.min(F.struct((-F.length("s")).alias("n"), "s")).alias("_w"))
+    return longest.groupBy("center").agg(F.collect_list(F.struct("slot", F.col("_w.s").alias("s"))).alias("widest"))  # as many as the center has slots
+
+
+def _by_center(pairs: DataFrame, centers: DataFrame, make, schema: str) -> DataFrame:
+    """`make(rows of a center's members, its widest slots, its profile)` in Arrow, after each center's row has come in front of its members.
+
+    Members of one center are dealt in shares of about `MEMBERS`, and its row goes to each. pairs: with `ways`, the number of shares.
+    centers: `center`, `widest`, `characters`, `counts`, `ways`. A share's members come in parts, if they are more than an Arrow batch.
+    """
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    first = centers.select("center", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("ways") - 1)).alias("share"), F.lit(0).alias("kind"), none("string", "member"), none("bigint", "degree"), none("string", "aln_c"), none("string", "aln_m"), "widest", "characters", "counts")
+    dealt = pairs.select("center", F.pmod(F.xxhash64("member"), F.col("ways")).alias("share"), F.lit(1).alias("kind"), "member", F.col("degree").cast("bigint").alias("degree"), "aln_c", "aln_m", *(F.lit(None).cast(centers.schema[c].dataType).alias(c) for c in ("widest", "characters", "counts")))
+    stream = first.unionByName(dealt).repartition("center", "share").sortWithinPartitions("center", "share", "kind")
+    out = pa.schema([(c.split()[0], {"string": pa.string(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches):
+        head, widest, profile, at, rows = None, {}, None, None, []
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if rows:
+                        done += make(at, rows, widest, profile)
+                    at, rows = row["center"], []
+                    if head != row["center"] or profile is None:
+                        head, widest = row["center"], {x["slot"]: x["s"] for x in row["widest"] or ()}
+                        profile = P.Profile.unpacked(row["characters"], row["counts"]) if row["counts"] is not None else None
+                        if profile is not None:
+                            profile.settle()
+                else:
+                    rows.append(row)
+            if rows:
+                done += make(at, rows, widest, profile)
+                rows = []
+            yield from _batches(done, out)
+
+    return stream.mapInArrow(run, schema)
+
+
+def _counted(center: str, rows: list[dict], widest: dict[int, str], profile: None) -> list[tuple]:
+    made, known = P.Profile(), {}
+    for r in rows:
+        made.add(P.in_columns(r["aln_m"], r["aln_c"], widest, known), r["degree"])
+    return [(center, *made.packed())]
+
+
+def _fixed(center: str, rows: list[dict], widest: dict[int, str], profile: P.Profile) -> list[tuple]:
+    known: dict = {}
+    return [(r["member"], profile.corrected(P.in_columns(r["aln_m"], r["aln_c"], widest, known), r["degree"])) for r in rows]
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """`center`, `characters`, `counts`: the sum of each center's profiles, read one after the other."""
+    schema = pa.schema([("center", pa.string()), ("characters", pa.list_(pa.int32())), ("counts", pa.binary())])
+
+    def run(batches):
+        center, total = None, None
+        for batch in batches:
+            done = []
+            for name, characters, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != center:
+                    if total is not None:
+                        done.append((center, *total.packed()))
+                    center, total = name, P.Profile()
+                total.merge(P.Profile.unpacked(characters, counts))
+            yield from _batches(done, schema)
+        if total is not None:
+            yield from _batches([(center, *total.packed())], schema)
+
+    return parts.repartition("center").sortWithinPartitions("center").mapInArrow(run, "center string, characters array<int>, counts binary")
+
+
 def corrected(pairs: DataFrame) -> DataFrame:
     """`member`, `seq` (corrected) for the members of partitions in which there is something to correct.
 
     pairs: `center`, `member`, `degree`, `aln_c`, `aln_m`, the center with itself included.
     """
-    busy = pairs.groupBy("center").agg(F.count("*").alias("_members"), F.sum("degree").alias("_reads")).where("_members > 1 and _reads > 2").select("center")
-    long = written(A.partition_columns(pairs.join(busy, "center", "left_semi")), "columns")  # read by every step below
-    profiles = profile(long)
-    tops = majorities(profiles)
-    replaced = to_replace(long, profiles, tops, error_counts(profiles, tops))
-    fixed = long.join(replaced.select("center", "member", "col", "top"), ["center", "member", "col"], "left").withColumn("char", F.coalesce("top", "char"))
-    spelled = fixed.groupBy("center", "member").agg(F.array_sort(F.collect_list(F.struct("col", "char"))).alias("_c"))
-    return spelled.select("member", F.array_join(F.filter(F.transform("_c", lambda x: x["char"]), lambda c: c != "-"), "").alias("seq"))
+    members, reads = F.count("*").alias("_members"), F.sum("degree").alias("_reads")
+    busy = pairs.groupBy("center").agg(members, reads).where("_members > 1 and _reads > 2").select("center", F.ceil(F.col("_members") / MEMBERS).alias("ways"))
+    inside = written(pairs.join(busy, "center").select("center", "member", "degree", "aln_c", "aln_m", "ways"), "members")
+    centers = written(busy.join(_widest(inside), "center", "left"), "centers")
+    none = centers.withColumn("characters", F.lit(None).cast("array<int>")).withColumn("counts", F.lit(None).cast("binary"))
+    parts = _by_center(inside, none, _counted, "center string, characters array<int>, counts binary")
+    profiled = written(centers.join(_merged(parts), "center"), "profiles")
+    discard(centers)
+    return _by_center(inside, profiled, _fixed, "member string, seq string")

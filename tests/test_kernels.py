@@ -7,8 +7,8 @@ from hypothesis import strategies as st
 
 from seqloom.functions import alignment as A
 from seqloom.functions import variants as V
-from seqloom.operators.graph import greedy_partition
 from seqloom.plans.power import replicate
+from tests.test_partition import greedy_partition
 
 dna = st.text("ACGT", min_size=1, max_size=24)
 
