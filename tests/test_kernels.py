@@ -116,6 +116,30 @@ def test_error_counts_and_chance():
     assert sum(V.error_ratios((0, 5, 2))) == 1.0
 
 
+@settings(max_examples=150, deadline=None)
+@given(dna, dna, st.sampled_from([(2, -1, 2, 0), (2, -2, 2, 0), (2, -4, 3, 1)]))
+def test_alignment_in_blocks_of_rows(a, b, costs):
+    whole = A.semi_global(a, b, *costs)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(A, "CELLS", 0)
+        assert A.semi_global(a, b, *costs) == whole
+
+
+def test_alignment_of_long_sequences():
+    """20 kb against 20 kb in less than 100 MB."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = "".join(rng.choice("ACGT") for _ in range(20_000))
+    b = a[:5000] + a[5003:12_000] + "ACGT" + a[12_000:]
+    tracemalloc.start()
+    x, y, score = A.semi_global(a, b)
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert x.replace("-", "") == a and y.replace("-", "") == b and score == 2 * (len(a) - 3) - 4
+    assert used < 100e6
+
+
 def test_greedy_partition():
     made = greedy_partition({"a": 3, "b": 1, "c": 1, "d": 5}, {"a": {"b", "c"}, "d": set()}, True)
     assert set(made) == {("a", "a", 5), ("a", "b", 5), ("a", "c", 5), ("d", "d", 5)}
