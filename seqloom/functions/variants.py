@@ -10,13 +10,16 @@ TRUSTED = 43.0
 
 @dataclass(frozen=True)
 class Variant:
-    """A differing column: position in the reference's and in the candidate's coordinates, S, I or D, and its run's multiplicity."""
+    """A differing column: position in the reference's and in the candidate's coordinates, S, I or D, its run's multiplicity, and the
+    candidate's row from the column before it to the one after its run.
+    """
 
     t: int
     c: int
     kind: str
     base: str
     run: int
+    seen: str
 
 
 def masked(a: str, b: str) -> tuple[int, int]:
@@ -36,15 +39,17 @@ def variants(ref: str, cand: str) -> list[Variant]:
     t, c = len(ref[:start].replace("-", "")), len(cand[:start].replace("-", ""))
     plain = ref.replace("-", "")
     found: dict[tuple[int, str], Variant] = {}
-    for x, y in zip(ref[start:end], cand[start:end], strict=True):
+    for i in range(start, end):
+        x, y = ref[i], cand[i]
         if x != y:
             if x == "-":
                 around = _run(plain[t:], y) + _run(plain[:t][::-1], y)
-                found[t, "I"] = Variant(t, c, "I", y, around + 1 if around else 1)
+                kind, base, run = "I", y, around + 1 if around else 1
             elif y == "-":
-                found[t, "D"] = Variant(t, c, "D", x, _run(plain[t + 1 :], x) + _run(plain[: t + 1][::-1], x))
+                kind, base, run = "D", x, _run(plain[t + 1 :], x) + _run(plain[: t + 1][::-1], x)
             else:
-                found[t, "S"] = Variant(t, c, "S", y, 1)
+                kind, base, run = "S", y, 1
+            found[t, kind] = Variant(t, c, kind, base, run, cand[max(0, i - 1) : i + run + 1])
         t += x != "-"
         c += y != "-"
     return sorted(found.values(), key=lambda v: (v.t, v.kind))
@@ -55,39 +60,24 @@ def _columns_of(gapped: str) -> list[int]:
     return [i for i, x in enumerate(gapped) if x != "-"]
 
 
-def _window(template: str, read: str, at: int, run: int) -> tuple[str, str]:
-    """Both rows from the base before a variant to the base after its run."""
-    columns = _columns_of(template)
-    a = columns[max(at - 1, 0)] if columns else 0
-    last = at + run
-    b = columns[last] + 1 if last < len(columns) else len(template)
-    return template[a:b], read[a:b]
-
-
 def supports(template: str, read: str, found: list[Variant], own: bool) -> bool:
-    """Whether a read, aligned to its template, has the candidate's bases at every variant.
+    """Whether a read, aligned to its template, has the candidate's row at every variant, column by column, gaps included.
 
-    own: the template is the candidate and the read must agree with it; otherwise it is the reference and the read
-    must have what the candidate has there.
+    own: the template is the candidate, and its own row counts; otherwise it is the reference, and what the candidate's row has in
+    their alignment. An inserted base is numbered by the reference's base after it, so the window begins one column before.
     """
+    columns = _columns_of(template)
     for v in found:
-        here, there = _window(template, read, v.c if own else v.t, v.run)
-        want = here.replace("-", "") if own else _changed(here.replace("-", ""), v)
-        if there.replace("-", "") != want:
+        at = v.c if own else v.t
+        if at >= len(columns):
+            return False
+        earlier = 1 if v.kind == "I" and not own else 0
+        a, b = max(0, columns[at] - 1 - earlier), columns[at] + v.run + 1 - earlier
+        if read[a:b] != (template[a:b] if own else v.seen):
             return False
     return True
 
 
-def _changed(window: str, v: Variant) -> str:
-    """A window of the reference, from the base before the variant, with the variant made."""
-    k = min(1, v.t)
-    if v.kind == "S":
-        return window[:k] + v.base + window[k + 1 :]
-    if v.kind == "D":
-        return window[:k] + window[k + 1 :]
-    return window[:k] + v.base + window[k:]
-
-
 def qualities_at(template: str, read: str, phred: list[int], places: list[int]) -> list[int]:
     """Quality of the read's base at each place of its template; at a gap that of the base after it, at the end that of the last."""
     columns, before, n = _columns_of(template), [], 0

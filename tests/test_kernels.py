@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -90,6 +91,46 @@ def test_slots(seed):
     assert out[1::2] == [q for q, t in pairs if t != "-"]
 
 
+def test_insertion_placement_falls_back():
+    """An alignment that leaves inserted characters out has fewer edits: whole, where most agree, else to the left."""
+    for insertion, longest in [("TACG", "-ACGA-"), ("GTCA", "-TCAG-"), ("CCCA", "-AAAC-"), ("TTTT", "-ACGA-")]:
+        made = A.placed(insertion, longest)
+        kept = [i for i, x in enumerate(made) if x != "-"]
+        assert len(made) == len(longest) and made.replace("-", "") == insertion
+        threads = min(sum(x != longest[i] for x, i in zip(insertion, at)) for at in combinations(range(len(longest)), len(insertion)))
+        fewest = plain_edits(longest, insertion)
+        if threads + len(longest) - len(insertion) > fewest:
+            agree = [sum(x == y for x, y in zip(insertion, longest[p:])) for p in range(len(longest) - len(insertion) + 1)]
+            assert kept == list(range(agree.index(max(agree)), agree.index(max(agree)) + len(insertion)))
+        else:
+            assert sum(x != longest[i] for x, i in zip(insertion, kept)) == threads
+
+
+def plain_edits(a, b):
+    if not a or not b:
+        return len(a) + len(b)
+    return min(plain_edits(a[1:], b) + 1, plain_edits(a, b[1:]) + 1, plain_edits(a[1:], b[1:]) + (a[0] != b[0]))
+
+
+def test_matrix_of_one_center():
+    """The survey's example: six members in the slots of one center."""
+    longest, others = "ACCG", {"ACCG": "-ACCG-", "AG": "-A--G-", "A": "-A----", "CC": "--CC--", "-": "------", "C": "--C---"}
+    assert {s: A.placed(s, f"-{longest}-") for s in others} == others
+
+
+def test_support_compares_gapped_windows():
+    """A read that has the candidate's bases, but in other columns, is no support."""
+    found = V.variants("ACGTTACG", "ACG-TACG")
+    assert [(v.kind, v.run, v.seen) for v in found] == [("D", 2, "G-TA")]
+    # Reads of the reference: the same columns support, the other base of the run left out does not.
+    assert V.supports("ACGTTACG", "ACG-TACG", found, False) and not V.supports("ACGTTACG", "ACGT-ACG", found, False)
+    assert V.supports("ACGTACG", "ACGTACG", found, True) and not V.supports("ACGT-ACG", "ACGTTACG", found, True)
+    inserted = V.variants("ACG-TACG", "ACGATACG")
+    assert [(v.kind, v.t, v.c, v.run, v.seen) for v in inserted] == [("I", 3, 3, 1, "GAT")]
+    assert V.supports("ACG-TACG", "ACGATACG", inserted, False) and not V.supports("ACGTACG", "ACGTACG", inserted, False)
+    assert V.supports("ACGATACG", "ACGATACG", inserted, True) and not V.supports("ACGATACG", "ACG-TACG", inserted, True)
+
+
 def test_placed():
     assert A.placed("-", "-ACG-") == "-----"
     assert A.placed("CG", "-ACG-") == "--CG-"
