@@ -33,7 +33,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: A hash that this divides costs a run a code point; least code points and occurrences of a word; how many times more often a form is.
 DROPPED, SHORTEST, LEAST, TIMES = 199, 6, 5, 5
 #: Words of one shard; words read against it by one task; owners of a half that are verified one by one; different words that a task counts at a time.
-SHARD, BLOCK, LISTED, COUNTED = 100_000, 200_000, 64, 200_000
+SHARD, BLOCK, LISTED, COUNTED = 60_000, 60_000, 16, 200_000
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
@@ -41,11 +41,17 @@ def runs_of(text: str, key) -> Counter:
     """The runs of one text, with what the hash takes out of them, and how often each occurs."""
     out: Counter = Counter()
     seed = zlib.crc32(f"{'' if key is None else key}:".encode())
-    for run, n in Counter(RUN.findall(text.translate(_LOWER))).items():
+    lost = []
+    for run, n in Counter(RUN.findall(text)).items():
+        if not run.islower():
+            run = run.lower() if run.isascii() else run.translate(_LOWER)
+        out[run] += n
+    for run in [*out]:
         h = zlib.crc32(run.encode(), seed)
         if h % DROPPED == 0:
             at = h % len(run)
-            run = run[:at] + run[at + 1 :]
+            lost.append((run[:at] + run[at + 1 :], out.pop(run)))
+    for run, n in lost:
         out[run] += n
     return out
 
@@ -140,14 +146,10 @@ class Shard:
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """`word`, `near`, `n`: each of the words (`word`, `n`) with every word that is one edit away, and that one's count. words: a written table."""
-    spark = words.sparkSession
     sized = words.select("word", "n", F.length("word").alias("size"))
     total = sized.groupBy("size").agg(F.count("*").alias("count"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = total.select("size", F.ceil(F.col("count") / SHARD).alias("shards"))
-    # Words that are read against a shard, in blocks; more and smaller blocks where there would be fewer than tasks.
-    least = F.least(F.lit(tasks), F.ceil(F.col("count") / 1000))
-    blocks = total.select("size", F.greatest(F.ceil(F.col("count") / BLOCK), least).alias("blocks"))
+    parts = lambda each, name: total.select("size", F.ceil(F.col("count") / each).alias(name))
+    own, blocks = parts(SHARD, "shards"), parts(BLOCK, "blocks")
     held = sized.join(own, "size").select("word", "size", F.pmod(F.xxhash64("word"), F.col("shards")).alias("shard"))
     near_sizes = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
     # A shard goes to every block of each length within one of its own.
@@ -157,7 +159,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     asked = asked.select("word", "n", "read", F.pmod(F.hash("word"), F.col("blocks")).alias("block"), near_sizes("read").alias("size")).join(own, "size")
     asked = asked.select("size", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)).alias("shard"), "read", "block", F.lit(1).alias("kind"), "word", "n")
     cell = ["size", "shard", "read", "block"]
-    stream = held.unionByName(asked).repartition(tasks, *cell).sortWithinPartitions(*cell, "kind")
+    stream = held.unionByName(asked).repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell).sortWithinPartitions(*cell, "kind")
 
     def run(batches):
         at, words, shard = None, [], None
