@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -52,7 +53,12 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(path)
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([_SEPARATORS.pattern, *added]))
-        self.words = Remembered(lambda words: [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)], np.uint32)
+        self.words = Remembered(self._ids, np.uint32)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text."""

@@ -26,6 +26,7 @@ import hashlib
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,9 +36,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import common
+from seqloom.llm.bpe import _BEYOND_LATIN as BEYOND_LATIN
 from seqloom.llm.bpe import _WHITE as WHITE
-from seqloom.llm.bpe import to_bytes
-from seqloom.llm.memo import REMEMBERED_BYTES, Remembered
+from seqloom.llm.bpe import to_bytes, to_characters
+from seqloom.llm.memo import Remembered
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -47,8 +49,9 @@ BLOCK_BYTES, BLOCK_DOCUMENTS = 2 << 20, 32_000
 NUMBERED = 1 << 36
 #: Buckets of A's ids; bytes of packed postings that one cell reads, about; entries that a cell adds up before it gives them on.
 BUCKETS, CELL_BYTES, ADDED_UP = 64, 16 << 20, 4 << 20
-#: Pairs that are expanded at a time.
-EXPANDED = 1 << 20
+#: Pairs that one group may have to be expanded with others; pieces that are aligned at a time; bytes that pieces are remembered up to.
+EXPANDED, ALIGNED, REMEMBERED_BYTES = 1 << 16, 1 << 14, 96 << 20
+SPACE = to_characters(b" ")
 _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 
 
@@ -93,6 +96,7 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.model = self.a.model
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         n = self.a.get_vocab_size(with_added_tokens=True)
         self.a_bytes = [_or_text(self.a.id_to_token(i) or "") for i in range(n)]
@@ -103,14 +107,19 @@ class Aligner:
         if not all("\r" in p for p in across):
             raise ValueError("the piece model joins words with white space behind them")
         self.b_count = len(named)
-        self.pieces = Remembered(self._aligned, np.int64)
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.names = list(map(str, range(max(len(self.a_bytes), self.b_count))))
+        self.pieces = Remembered(self._aligned, np.int64, REMEMBERED_BYTES)
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of both sides of texts with their space in front."""
-        a = self.a.encode_batch(texts, add_special_tokens=False)
+        # A space and Latin letters are one match of A's pattern.
+        plain = [t[0] == " " and t[1:].isalpha() and (t.isascii() or not BEYOND_LATIN.search(t)) for t in texts]
+        rest = iter(self.a.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
+        a = [[x.id for x in self.model.tokenize(SPACE + t[1:] if t.isascii() else to_characters(t.encode()))] if p else next(rest).ids for t, p in zip(texts, plain, strict=True)]
         # The line feed is a token by itself and keeps the model's own space off the text.
         b = self.b.encode(["\n" + t for t in texts], num_threads=1)
-        return [(x.ids, y[2:]) for x, y in zip(a, b, strict=True)]
+        return [(x, y[2:]) for x, y in zip(a, b, strict=True)]
 
     def aligned(self, text: str, a: list[int], b: list[int]) -> tuple[bool, list[tuple[list[int], list[int]]]]:
         """Whether both sides spell the text, and the groups."""
@@ -158,18 +167,80 @@ class Aligner:
                 times = np.bincount(where, np.concatenate((times, np.outer(a_times[at:to], b_times).ravel()))).astype(np.int64)
         return keys, times
 
-    def _aligned(self, texts: list[str]) -> list[np.ndarray]:
-        """For each piece: spelled, n_a, n_b, n_groups, n_links, number of its groups' text, then pairs and times by turns."""
-        out = []
-        for text, (a, b) in zip(texts, self.tokens(texts), strict=True):
-            spelled, groups = self.aligned(text, a, b)
-            keys, times = self._links(groups)
-            row = np.empty(5 + 2 * len(keys), np.int64)
-            row[:5] = spelled, len(a), len(b), len(groups), times.sum()
-            row[5::2], row[6::2] = keys, times
-            self.written.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups))
-            out.append(row)
-        return out
+    def _one(self, text: str, a: list[int], b: list[int]) -> tuple[np.ndarray, str]:
+        """The numbers of one piece, as `_aligned` has them, and its groups' text."""
+        spelled, groups = self.aligned(text, a, b)
+        keys, times = self._links(groups)
+        row = np.empty(5 + 2 * len(keys), np.int64)
+        row[:5] = spelled, len(a), len(b), len(groups), times.sum()
+        row[5::2], row[6::2] = keys, times
+        return row, ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+
+    def _many(self, tokens: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """The numbers of pieces that both sides spell, one behind the other, how many each has, and their groups' texts."""
+        counts = [np.fromiter((len(t[k]) for t in tokens), np.int64, len(tokens)) for k in (0, 1)]
+        a, b = (np.fromiter(chain.from_iterable(t[k] for t in tokens), np.int64, int(counts[k].sum())) for k in (0, 1))
+        a_ends, b_ends = np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)  # where a group ends; pieces end there too
+        a_group, b_group = np.searchsorted(both, a_ends), np.searchsorted(both, b_ends)
+        b_counts = np.bincount(b_group, minlength=len(both))
+        b_firsts = np.cumsum(b_counts) - b_counts
+        piece_of_a = np.repeat(np.arange(len(tokens)), counts[0])
+        last_groups = a_group[np.cumsum(counts[0]) - 1]
+        n_groups = np.diff(last_groups, prepend=-1)
+        links = b_counts[a_group]
+        keys = np.repeat(a, links) * self.b_count + b[common.ragged(b_firsts[a_group], links)]
+        pair, times = np.unique(np.repeat(piece_of_a, links) << 32 | keys, return_counts=True)
+        pieces = pair >> 32
+        n_pairs = np.bincount(pieces, minlength=len(tokens))
+        sizes = 5 + 2 * n_pairs
+        starts = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        n_links = np.bincount(piece_of_a, links, len(tokens)).astype(np.int64)
+        for k, values in enumerate((np.ones(len(tokens), np.int64), *counts, n_groups, n_links)):
+            out[starts + k] = values
+        at = common.ragged(starts + 5, 2 * n_pairs)
+        out[at[::2]], out[at[1::2]] = pair & 0xFFFFFFFF, times
+        # The texts: ids of A, then of B, group by group, each with what stands behind it.
+        behind_a = np.where(np.append(a_group[1:] != a_group[:-1], True), 1, 0)
+        behind_b = np.where(np.append(b_group[1:] != b_group[:-1], True), 2, 0)
+        behind_b[np.cumsum(counts[1]) - 1] = 3
+        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
+        names, marks = self.names, (",", "|", ";", "")
+        parts = [names[i] + marks[k] for i, k in zip(np.concatenate((a, b))[order].tolist(), np.concatenate((behind_a, behind_b))[order].tolist(), strict=True)]
+        ends = np.cumsum(counts[0] + counts[1]).tolist()
+        return out, sizes, ["".join(parts[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _aligned(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each piece: spelled, n_a, n_b, n_groups, n_links, then pairs and times by turns."""
+        values, lengths = [], []
+        for at in range(0, len(texts), ALIGNED):
+            some = texts[at : at + ALIGNED]
+            tokens = self.tokens(some)
+            # Pieces that B may spell otherwise, and such with large groups, are aligned one by one.
+            plain = [len(a) * len(b) <= EXPANDED and "▁" not in t for t, (a, b) in zip(some, tokens, strict=True)]
+            alike = [x for x, p in zip(tokens, plain, strict=True) if p]
+            spelled = "".join([t for t, p in zip(some, plain, strict=True) if p]).encode()
+            if any(b"".join([side[i] for x in alike for i in x[k]]) != spelled for k, side in ((0, self.a_bytes), (1, self.b_bytes))):
+                plain, alike = [False] * len(some), []
+            flat, sizes, written = self._many(alike) if alike else (np.zeros(0, np.int64), np.zeros(0, np.int64), [])
+            if len(alike) == len(some):
+                values.append(flat)
+                lengths.append(sizes)
+                self.written += written
+                continue
+            ends = np.cumsum(sizes)
+            next_alike = iter(zip(ends - sizes, ends, written, strict=True))
+            for text, (a, b), p in zip(some, tokens, plain, strict=True):
+                if p:
+                    i, j, groups = next(next_alike)
+                    row = flat[i:j]
+                else:
+                    row, groups = self._one(text, a, b)
+                values.append(row)
+                lengths.append(np.array([len(row)], np.int64))
+                self.written.append(groups)
+        return np.concatenate(values), np.concatenate(lengths)
 
     def forget(self) -> None:
         """Let go of all pieces."""

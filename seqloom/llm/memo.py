@@ -27,10 +27,12 @@ class _Slots(dict):
 
 
 class Remembered:
-    """Arrays of numbers by piece of text. `make` gets the pieces that were not met before and gives an array for each."""
+    """Arrays of numbers by piece of text. `make` gets the pieces that were not met before, and gives their arrays one behind the
+    other and the length of each.
+    """
 
-    def __init__(self, make: Callable[[list[str]], list[np.ndarray]], kind) -> None:
-        self.make, self.kind = make, kind
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind, limit: int = REMEMBERED_BYTES) -> None:
+        self.make, self.kind, self.limit = make, kind, limit
         self.forget()
 
     def forget(self) -> None:
@@ -41,15 +43,13 @@ class Remembered:
 
     def _remember(self) -> None:
         keys, self.slots.new = self.slots.new, []
-        made = self.make(keys)
-        n, more = len(self.slots), np.array(list(map(len, made)), np.int64)
+        made, more = self.make(keys)
+        n, total = len(self.slots), len(made)
         while len(self.starts) < n:
             self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-        total = int(more.sum())
         while len(self.flat) < self.used + total:
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate(made)
+        self.flat[self.used : self.used + total] = made
         self.starts[n - len(keys) : n] = self.used + np.cumsum(more) - more
         self.lengths[n - len(keys) : n] = more
         self.used += total
@@ -57,7 +57,7 @@ class Remembered:
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece; holds until the next call."""
-        if self.held > REMEMBERED_BYTES:
+        if self.held > self.limit:
             self.forget()
         gc.disable()  # what is remembered holds no cycles, and looking for some takes longer than the lookups
         try:
