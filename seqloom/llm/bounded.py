@@ -32,16 +32,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import common
+from seqloom.llm.bpe import _BEYOND_LATIN as BEYOND_LATIN
+from seqloom.llm.bpe import to_characters
 from seqloom.llm.memo import Remembered
 from seqloom.operators.neighbors import running_before
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CAPACITY, WINDOWS, END = 2048, 64, 1
+#: Bytes, about, of the words that one worker remembers.
+REMEMBERED_BYTES = 96 << 20
 #: Sequences that one partition may number; partitions that make one number of the second level of the running sums.
 NUMBERED, TOGETHER = 1 << 36, 512
 #: White space of `str.split` that the library does not take for white space.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: Where the tokenizer's pattern ends a match anyway; white space there means nothing to it, and so words are alike with and without a mark.
+_MARK = re.compile("([A-Za-z])([,.;:!?])")
 
 
 class WordCodec:
@@ -51,12 +57,15 @@ class WordCodec:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_SEPARATORS.pattern, *added]))
-        self.words = Remembered(self._ids, np.uint32)
+        self.model = self.tokenizer.model
+        self.whole = [*_SEPARATORS, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.words = Remembered(self._ids, np.uint32, REMEMBERED_BYTES)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        # A word of small Latin letters is as the normaliser leaves it, and one match of the pattern.
+        plain = [w.isalpha() and w.islower() and (w.isascii() or not BEYOND_LATIN.search(w)) for w in words]
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False))
+        found = [[t.id for t in self.model.tokenize(w if w.isascii() else to_characters(w.encode()))] if p else next(rest).ids for w, p in zip(words, plain, strict=True)]
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
@@ -67,10 +76,12 @@ class WordCodec:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.whole.search(text):
+            if any(x in text for x in self.whole):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
-            found = text.split()
+            if text.isascii() or not BEYOND_LATIN.search(text):  # else lower case may depend on what stands around
+                text = text.lower()
+            found = _MARK.sub(r"\1 \2", text).split()
             rows.append(i)
             words += found
             counts.append(len(found))
