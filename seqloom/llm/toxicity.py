@@ -2,12 +2,11 @@
 
 A logistic regression on which words, and which beginnings of words, a text has. The
 features are those whose document counts differ most, for their size, between the two
-labels. In labelled sentences that name a group or hold a word by which its language
-can be told, that term is swapped for another of its kind, and the squared change of
-the score's log-odds is penalised, so that who is named, or whose language is written,
-does not count by itself; every listed term is a feature, so that the penalty reaches
-all of them. The terms are a parameter. Training warns if it saw no such sentence,
-since the penalty then has no effect; the model says how many texts had one.
+labels. In labelled sentences that name a group, that term is swapped for another of
+its kind, and the squared change of the score's log-odds is penalised, so that who is
+named does not count by itself; every listed term is a feature, so that the penalty
+reaches all of them. The terms are a parameter. Training warns if it saw no such
+sentence, since the penalty then has no effect; the model says how many texts had one.
 
 Fitted on at most `SAMPLE` labelled rows of each label, those with the least hashes of
 their ids; every text is scored, whole.
@@ -37,7 +36,7 @@ SAMPLE, FEATURES, RIDGE, SWAP_PENALTY = 3000, 512, 1.0, 20.0
 #: Lengths of the beginnings of words that are features.
 BEGINNINGS = (4, 5, 6)
 THRESHOLD = 0.3
-#: Terms that name a group, by kind; the last kinds are common words by which a community's language is told.
+#: Terms that name a group, by kind.
 IDENTITY_TERMS = (
     ("women", "men"),
     ("woman", "man"),
@@ -53,11 +52,6 @@ IDENTITY_TERMS = (
     ("mexican", "american", "chinese", "indian", "german", "french", "spanish", "polish", "turkish", "russian", "nigerian"),
     ("old", "young", "elderly", "teenage"),
     ("deaf", "blind", "disabled", "autistic"),
-    ("the", "der", "les", "los"),
-    ("and", "und", "et", "y"),
-    ("with", "mit", "avec", "con"),
-    ("for", "für", "pour", "para"),
-    ("is", "ist", "est", "es"),
 )
 _WORDS = re.compile(r"[^\W\d_]+").findall
 

@@ -1,5 +1,7 @@
 """That the methods do the work: automata locate, the penalty acts, labelers vote; and odd input to each."""
 
+import zlib
+import math
 import random
 import re
 import time
@@ -80,19 +82,49 @@ def test_pipeline_names_that_clash(spark, name):
 # Toxicity: the penalty acts
 
 
-def test_penalty_acts_on_the_supplied_tables(spark):
-    folder = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    marks = spark.read.parquet(f"{folder}/labels.parquet").where(~toxicity.held_out())
-    free, held = (toxicity.train(docs, marks, penalty=p) for p in (0.0, toxicity.SWAP_PENALTY))
-    assert held.pairs > 50 and free.weights != held.weights
+def auc(scores):
+    """Share of pairs (toxic, other) in the right order."""
+    good, bad = [s for s, y in scores if not y], [s for s, y in scores if y]
+    return sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+
+
+def test_penalty_acts_on_mentions_in_real_texts(spark):
+    """Groups are named at random in the supplied documents, one of them mostly in toxic ones: that must not make its mention toxic."""
+    folder, rng = "/root/testdata/sf0.01", random.Random(7)
+    marks = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = []
+    for r in sorted(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()):
+        group = "muslims" if rng.random() < (0.8 if marks.get(r["doc_id"]) else 0.05) else rng.choice(["christians", "jews", "hindus", "buddhists"])
+        rows.append((r["doc_id"], f"{r['text'] or ''}\nYesterday {group} came."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(list(marks.items()), "doc_id long, toxic int")
+    free, held = (toxicity.train(docs, labels.where(~toxicity.held_out()), penalty=p) for p in (0.0, toxicity.SWAP_PENALTY))
+    assert held.pairs > 100
+    last = [(t.rpartition("\n")[0], marks[i]) for i, t in rows if i in marks and zlib.crc32(str(i).encode()) % 4 == 2]
+    scored = [[(m.score(f"{t}\nYesterday muslims came."), y) for t, y in last] for m in (free, held)]
+    false = [sum(s >= toxicity.THRESHOLD for s, y in x if not y) for x in scored]
+    assert false[1] <= false[0] and auc(scored[1]) > 0.95
+    apart = [sum(abs(m.score(f"{t}\nYesterday muslims came.") - m.score(f"{t}\nYesterday jews came.")) for t, _ in last) for m in (free, held)]
+    assert apart[1] < 0.5 * apart[0]
 
-    def apart(model):
-        """How far off neutral mentions are from each other, by the terms of one kind."""
-        scores = [[model.score(f"{t} menteverthe") for t in kind] for kind in toxicity.IDENTITY_TERMS]
-        return sum(max(s) - min(s) for s in scores)
 
-    assert apart(held) < 0.5 * apart(free)
+def test_supplied_texts_name_no_group(spark):
+    """So the penalty has nothing to act on there, and says so."""
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()
+    assert not any(toxicity.swapped(r["text"]) for r in texts)
+
+
+def test_scores_equal_a_plain_model(spark):
+    folder = "/root/testdata/sf0.001"
+    model = toxicity.learned(spark, folder)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = toxicity.op3_counterfactual_toxicity(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        weights = {f: model.weights[f] for w in re.findall(r"[^\W\d_]+", (texts[r["doc_id"]] or "").lower()) for f in [w, *(f"{w[:n]}*" for n in (4, 5, 6) if len(w) > n)] if f in model.weights}
+        plain = 1 / (1 + math.exp(-(model.bias + math.fsum(weights.values()))))
+        assert abs(r["score"] - plain) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
 
 
 def test_penalty_lowers_false_positives(spark):
