@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import struct
 
 import duckdb
@@ -12,6 +13,7 @@ import pytest
 
 import corpus_pipeline
 from seqloom.llm import ann, chat, packing, queries, topk, toxicity, warc
+from seqloom.llm import vectors as vector_blocks
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -96,6 +98,34 @@ def test_recall_and_codes(spark):
     assert codes.shape == (len(x), 4) and ((x - ann.decode(codes, books)) ** 2).sum() < (x**2).sum()
 
 
+def test_recall_beyond_the_sample(spark):
+    """20,000 rows, of which a fifth may be fitted on and a tenth is scored again."""
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), np.float32)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([x + rng.normal(scale=0.5 * x.std(), size=x.shape) for _ in range(10)]).astype(np.float32)
+    assert len(x) >= 20_000 > 4 * ann.SAMPLE
+    found = {}
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8), 20, 200).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits, doubles = 0, x.astype(float)
+    for i in range(0, len(x), 200):
+        s = doubles @ doubles[i]
+        s[i] = -np.inf
+        hits += len(found[i] & set(np.argsort(-s, kind="stable")[:20].tolist()))
+    assert hits >= 0.9 * 20 * len(found) and len(found) == len(x) // 200
+
+
+def test_shards_and_blocks_give_the_same_rows(spark, monkeypatch):
+    """Small shards and blocks of queries, copies of one vector in all of them."""
+    rng = random.Random(4)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [rng.uniform(-2, 2) for _ in range(3)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, topk.top_k(df, 5, 20).collect()))
+    monkeypatch.setattr(vector_blocks, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vector_blocks, "BLOCK_ROWS", 3)
+    assert sorted(map(tuple, topk.top_k(df, 5, 20).collect())) == whole
+
+
 # Archives
 
 
