@@ -39,6 +39,33 @@ def score_of(a, b, match, mismatch, opening, extending):
     return total
 
 
+def infix_by_table(query, target):
+    """The whole table, and the way back with the diagonal first, then a character of the query only."""
+    n, m = len(query), len(target)
+    d = [[0] * (m + 1)] + [[i] + [0] * m for i in range(1, n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (query[i - 1] != target[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    end = d[n].index(min(d[n]))
+    i, j, edits = n, end, ""
+    while i:
+        if j and d[i][j] == d[i - 1][j - 1] + (query[i - 1] != target[j - 1]):
+            edits, i, j = ("=" if query[i - 1] == target[j - 1] else "X") + edits, i - 1, j - 1
+        elif d[i][j] == d[i - 1][j] + 1:
+            edits, i = "I" + edits, i - 1
+        else:
+            edits, j = "D" + edits, j - 1
+    return d[n][end], j, end, edits
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("ACG", max_size=90), st.text("ACG", max_size=90))
+def test_infix_distance_by_bit_vectors(q, t):
+    want = infix_by_table(q, t)
+    assert A.infix_distance(q, t, 1000) == want
+    assert A.infix_distance(q, t, want[0] - 1) is None or not q
+
+
 @settings(max_examples=150, deadline=None)
 @given(dna, dna, st.sampled_from([(2, -2, 2, 0), (2, -4, 2, 0), (2, -3, 3, 1)]))
 def test_alignment_is_optimal_and_whole(a, b, costs):

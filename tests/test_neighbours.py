@@ -10,6 +10,7 @@ from seqloom.functions import distance as D
 from seqloom.functions import sequences as S
 from seqloom.operators import neighbors
 from seqloom.plans import catalog
+from tests.test_kernels import infix_by_table
 
 
 def variants_of(rng, base, many, edits, ends):
@@ -127,3 +128,22 @@ def test_few_pairs_are_measured(spark):
     some = reads[::10]
     found, measured = D.nearest_among(some, [len(r) for r in some], reads, True)
     assert {i for i, *_ in found} == set(range(len(some))) and measured < 0.05 * len(some) * len(reads)
+
+
+def test_ends_adjusted_graph_of_the_reads(spark):
+    """The registered query against all pairs, each by the whole table."""
+    folder, ends, most = "/root/testdata/sf0.001", 3, 10
+    reads = [(r["acc"], r["seq"]) for r in neighbors.distinct_sequences(catalog.short_reads(spark, folder)).collect()]
+    want = set()
+    for a, s in reads:
+        for b, t in reads:
+            if (len(s), s) < (len(t), t) and len(t) - len(s) <= most + 2 * ends:
+                ed, start, end, edits = infix_by_table(s, t)
+                if ed <= most + ends:
+                    ed += max(0, start - ends) + max(0, len(t) - end - ends)
+                    ed -= min(len(edits) - len(edits.lstrip("I")), ends)
+                    ed -= min(len(edits) - len(edits.rstrip("I")), ends) if edits.strip("I") else 0
+                    if 0 <= ed <= most:
+                        want |= {(a, b, ed), (b, a, ed)}
+    got = [tuple(r) for r in catalog.ends_adjusted_graph(spark, folder).select("q", "t", "ed").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
