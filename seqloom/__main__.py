@@ -22,15 +22,16 @@ def _reads(spark: SparkSession, path: str):
     return fasta.last_of_each(fasta.with_file_position(reads), "position")
 
 
-def _each_step(folder: str):
-    """Writes the table of each step to `folder`."""
+def _each_step(out: str, verbose: bool):
+    """Writes the tests of each step to `out`, and, if verbose, the tables of every step to its folder `steps`."""
 
     def write(name: str, table) -> None:
         logging.info("%s", name)
         if "p_value" in table.columns:
-            table.write.mode("overwrite").csv(f"{folder}/{name}.tsv", sep="\t")
-        else:
-            fasta.write_fasta(table, f"{folder}/{name}.fa", mode="overwrite")
+            for folder in [out, *([f"{out}/steps"] if verbose else [])]:
+                table.write.mode("overwrite").csv(f"{folder}/{name}.tsv", sep="\t")
+        elif verbose:
+            fasta.write_fasta(table, f"{out}/steps/{name}.fa", mode="overwrite")
 
     return write
 
@@ -55,9 +56,14 @@ def main(args: list[str] | None = None) -> None:
         sub.add_argument("--nr_cores", type=int, help="cores of a local session; a cluster's are the cluster's affair")
         sub.add_argument("--verbose", action="store_true", help="write the tables of every step")
         sub.add_argument("--cleanup", action="store_true", help="delete them again at the end")
+        sub.add_argument("--logfile", help="file of the driver that the log goes to as well")
         sub.add_argument("--prefilter_candidates", action="store_true", help="accepted, without effect")
     o = parser.parse_args(args)
     logging.basicConfig(level=logging.INFO, format="%(asctime)s %(message)s")
+    if o.logfile:
+        kept = logging.FileHandler(o.logfile)
+        kept.setFormatter(logging.Formatter("%(asctime)s %(message)s"))
+        logging.getLogger().addHandler(kept)
     builder = SparkSession.builder.appName("seqloom")
     spark = (builder.master(f"local[{o.nr_cores}]") if o.nr_cores else builder).getOrCreate()
     params = P.Parameters(o.neighbor_search_depth, o.min_exon_diff, o.min_candidate_support, o.p_value_threshold, o.min_test_ratio, o.ignore_ends_len, o.max_phred_q_trusted)
@@ -65,8 +71,7 @@ def main(args: list[str] | None = None) -> None:
     if o.ccs and "phred" not in reads.columns:  # qualities of a FASTQ file come first
         placed = fasta.cropped(reads.select("acc", "seq"), fasta.read_sam(spark, o.ccs)).select("acc", "phred")
         reads = reads.select("acc", "seq").join(placed, "acc", "left")
-    steps = f"{o.out}/steps"
-    on_step = _each_step(steps) if o.verbose else None
+    on_step = _each_step(o.out, o.verbose)
     if o.verb == "get_candidates":
         found = P.get_candidates(reads, params, on_step)
         fasta.write_fasta(found.candidates, f"{o.out}/candidates_converged.fa")
@@ -82,7 +87,7 @@ def main(args: list[str] | None = None) -> None:
     P.cluster_table(assignment, reads, final).write.csv(f"{o.out}/cluster_info.tsv", sep="\t")
     final.select(F.concat_ws("_", "acc", F.col("n").cast("string")).alias("label"), "p_value").write.csv(f"{o.out}/p_values.tsv", sep="\t")
     if o.cleanup and o.verbose:
-        lineage.remove(spark, steps)
+        lineage.remove(spark, f"{o.out}/steps")
     logging.info("written to %s", o.out)
 
 

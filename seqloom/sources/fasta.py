@@ -103,9 +103,10 @@ def write_fasta(df: DataFrame, path: str, order: list | None = None, mode: str =
     df.orderBy(*(order or ["acc"])).select(fasta_text("acc", "seq").alias("value")).write.mode(mode).text(path)
 
 
-def write_fastq(df: DataFrame, path: str, by: str | None = None) -> None:
-    """`acc`, `seq`, `qual` as FASTQ files; with `by` a folder for each of its values."""
-    record = F.concat(F.lit("@"), "acc", F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
+def write_fastq(df: DataFrame, path: str, by: str | None = None, passes: str | None = None) -> None:
+    """`acc`, `seq`, `qual` as FASTQ files; with `by` a folder for each of its values; with `passes` that column as a suffix of names."""
+    name = F.concat("acc", F.lit("_passes:"), F.col(passes).cast("string")) if passes else F.col("acc")
+    record = F.concat(F.lit("@"), name, F.lit("\n"), "seq", F.lit("\n+\n"), "qual")
     out = df.select(record.alias("value"), *([by] if by else []))
     (out.write.partitionBy(by) if by else out.write).text(path)
 
