@@ -129,7 +129,8 @@ def _of_spans(docs: DataFrame, spans: DataFrame, key: str, text: str, make, sche
     common.tune(docs.sparkSession)
     lists = common.materialize(spans.groupBy("doc").agg(F.collect_list(F.struct("at", "n")).alias("spans")), "spans")
     packed = packed_texts(docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")), "text")
-    joined = packed.join(lists, F.col("id") == F.col("doc")).select("doc", "text", "spans")
+    # A shuffle between the two Python steps: in one stage each task would hold two workers, and idle ones keep their memory.
+    joined = packed.join(lists.hint("merge"), F.col("id") == F.col("doc")).select("doc", "text", "spans")
 
     def run(batches):
         for batch in batches:
