@@ -10,7 +10,7 @@ from seqloom.llm.crosstok import op12_postings_cogroup
 from seqloom.llm.jaccard import OP5_SQL, op5_size_aware_jaccard
 from seqloom.llm.packing import op7_best_fit_packing
 from seqloom.llm.pii import op4_weak_supervision_pii
-from seqloom.llm.spelling import op11_spelling_halves
+from seqloom.llm.spelling import OP11_SQL, op11_spelling_halves
 from seqloom.llm.substrings import op2_phrase_automata
 from seqloom.llm.topk import OP6_SQL, op6_maxscore_topk
 from seqloom.llm.toxicity import op3_counterfactual_toxicity
@@ -36,4 +36,5 @@ ORACLE_SQL = {
     "op5_size_aware_jaccard": OP5_SQL,
     "op6_maxscore_topk": OP6_SQL,
     "op10_snapshot_collapse": OP10_SQL,
+    "op11_spelling_halves": OP11_SQL,
 }

@@ -206,3 +206,41 @@ def grouped(words: DataFrame) -> DataFrame:
 def op11_spelling_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents."""
     return grouped(counted(common.table(spark, sf_dir, "documents")))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS entries
+  FROM range(256) AS t(i)
+), found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents
+), runs AS MATERIALIZED (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found GROUP BY ALL
+), spelled AS (
+  SELECT run, n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS bytes FROM runs
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(1, length(bytes) + 1, 2), lambda i: CAST('0x' || bytes[i:i + 1] AS BIGINT))),
+    lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) AS h
+  FROM spelled, crc
+), words AS MATERIALIZED (
+  SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), shorter AS MATERIALIZED (
+  SELECT word, i, word[:i] || word[i + 2:] AS rest FROM words, unnest(range(length(word))) AS u(i)
+), pairs AS (
+  SELECT a.word, b.word AS near FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, rest FROM shorter SEMI JOIN words ON words.word = rest
+  UNION SELECT rest, word FROM shorter SEMI JOIN words ON words.word = rest
+), ranked AS (
+  SELECT p.word, near, m.n AS near_n, count(*) OVER (PARTITION BY p.word) AS n_near, row_number() OVER (PARTITION BY p.word ORDER BY m.n DESC, near) AS r
+  FROM pairs p JOIN words m ON m.word = near
+), forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n
+  FROM words w LEFT JOIN ranked k ON k.word = w.word AND r = 1
+), chain AS (
+  SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM forms f JOIN chain c ON c.word = f.word JOIN forms g ON g.word = c.root AND g.form IS NULL
+"""
