@@ -61,12 +61,14 @@ def trusted_phred(phred: Column | str, most: float = TRUSTED_PHRED) -> Column:
     return (_c(phred) - 3) * (most - 3) / 90 + 3
 
 
+def runs(seq: Column | str) -> Column:
+    """The runs of equal characters, in their order."""
+    return F.filter(F.split(_c(seq), r"(?s)(?<=(.))(?!\1)"), lambda r: r != "")
+
+
 def run_ids(seq: Column | str) -> Column:
     """For each position the number of the run of equal characters that it stands in, from 0."""
-    chars = F.filter(F.split(_c(seq), ""), lambda c: c != "")
-    start = F.struct(F.lit("").alias("last"), F.lit(-1).alias("id"), F.array().cast("array<int>").alias("ids"))
-    step = lambda a, c: F.struct(c.alias("last"), (a["id"] + (c != a["last"]).cast("int")).alias("id"), F.concat(a["ids"], F.array(a["id"] + (c != a["last"]).cast("int"))).alias("ids"))
-    return F.aggregate(chars, start, step, lambda a: a["ids"])
+    return F.flatten(F.transform(runs(seq), lambda r, i: F.array_repeat(i, F.length(r))))
 
 
 def sorted_within_runs(seq: Column | str, phred: Column | str) -> Column:

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import neighbors
+from seqloom.operators.lineage import written
 
 
 def named(candidates: DataFrame) -> DataFrame:
-    """`acc` from the lexicographic number of `seq` and `degree`; numbered by first characters, so no task orders all."""
-    key = F.substring("seq", 1, 8)
-    keyed = candidates.select("seq", "degree", key.alias("_k"))
-    before = neighbors.running_before(keyed.groupBy("_k").count(), "_k", F.substring("_k", 1, 4))
-    number = F.row_number().over(W.partitionBy("_k").orderBy("seq")) - 1 + F.col("before")
-    return keyed.join(before, "_k").select(F.concat(F.lit("transcript_"), number.cast("string"), F.lit("_support_"), F.col("degree").cast("string")).alias("acc"), "seq", "degree")
+    """`acc` from the lexicographic number of `seq` (distinct) and `degree`.
+
+    Numbers follow from ranges of sequences, whose bounds Spark samples, and places inside a range, so no task orders all,
+    however alike their beginnings are.
+    """
+    ranged = candidates.select("seq", "degree").repartitionByRange("seq").sortWithinPartitions("seq")
+    ranged = written(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged").withColumn("_part", F.shiftright("_id", 33))
+    before = neighbors.running_before(ranged.groupBy("_part").count(), "_part", F.floor(F.col("_part") / 512))
+    number = F.col("before") + F.col("_id") % (1 << 33)
+    return ranged.join(before, "_part").select(F.concat(F.lit("transcript_"), number.cast("string"), F.lit("_support_"), F.col("degree").cast("string")).alias("acc"), "seq", "degree")
 
 
 def final_records(final: DataFrame) -> DataFrame:

@@ -85,6 +85,14 @@ def homopolymer_compress(spark, sf_dir):
     return document_reads(spark, sf_dir).select("acc", F.length(c).cast("bigint").alias("len"), F.md5(c).alias("compressed_md5"))
 
 
+@query(f"""WITH {_DOCUMENTS}, chars AS (SELECT acc, i, seq[i] AS c, CASE WHEN i > 1 THEN seq[i - 1] END AS p FROM reads, unnest(range(1, length(seq) + 1)) AS u(i)),
+ids AS (SELECT acc, i, sum(CAST(c IS DISTINCT FROM p AS INTEGER)) OVER (PARTITION BY acc ORDER BY i) - 1 AS id FROM chars)
+SELECT acc, CAST(max(id) + 1 AS BIGINT) AS n_runs, md5(string_agg(CAST(id AS VARCHAR), ',' ORDER BY i)) AS ids_md5 FROM ids GROUP BY acc""")
+def homopolymer_runs(spark, sf_dir):
+    ids = S.run_ids("seq")
+    return document_reads(spark, sf_dir).select("acc", F.size(S.runs("seq")).cast("bigint").alias("n_runs"), F.md5(F.array_join(ids, ",")).alias("ids_md5"))
+
+
 @query(f"""WITH {_SHORT}, chars AS (SELECT acc, i, seq[i] AS c, CASE WHEN i > 1 THEN seq[i - 1] END AS p FROM nodes, unnest(range(1, length(seq) + 1)) AS u(i)),
 compressed AS (SELECT acc, {_COMPRESSED} AS c FROM chars GROUP BY acc)
 SELECT x.acc AS a, y.acc AS b FROM compressed x JOIN compressed y ON x.c = y.c AND x.acc <> y.acc""")
