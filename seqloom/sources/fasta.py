@@ -5,6 +5,7 @@ Files are split by Spark on record separators, so one large file is read by many
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,27 +33,119 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """`acc`, `seq`, `qual` (string; null where a record has none, or the file ends within it).
 
-    Records may have several lines. A quality line can begin with `@`, so a record's end is known only by its lengths;
-    each file is one task's work.
+    Records may have several lines, and a quality line can begin with `@`, so where a record begins in the middle of a file is
+    known only by the lengths of what follows. Each split of a file finds its first record by them and parses from there to its
+    last one. That one, and the lines before the first, go to one task for each file, which puts them together in their order.
     """
+    from functools import partial
+
+    metadata = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start")]
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", *metadata)
+    schema = "acc string, seq string, qual string"
+    inner = lines.mapInArrow(partial(_of_splits, False), schema)
+    ends = lines.mapInArrow(partial(_of_splits, True), "file string, start bigint, part int, lines array<string>")
+    joined = ends.repartition("file").sortWithinPartitions("file", "start", "part").mapInArrow(_joined, schema)
+    return inner.union(joined)
+
+
+def _batches(rows: list[tuple]):
+    for at in range(0, len(rows), 4096):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[at : at + 4096], strict=True)], ["acc", "seq", "qual"])
+
+
+def _is_start(lines: list[str], at: int, records: int = 3) -> bool:
+    """Whether records begin at this line: sequence, `+`, as many qualities, and the next `@`, once at least, and again for some records."""
+    sure = False
+    for _ in range(records):
+        if at >= len(lines):
+            return sure
+        if lines[at][:1] != "@":
+            return False
+        at, size = at + 1, 0
+        while at < len(lines) and lines[at][:1] not in ("+", "@", ">"):
+            size += len(lines[at].strip())
+            at += 1
+        if at >= len(lines):
+            return sure
+        if lines[at][:1] != "+" or not size:
+            return False
+        at += 1
+        while at < len(lines) and size > 0:
+            size -= len(lines[at].rstrip("\r"))
+            at += 1
+        if size < 0:
+            return False
+        sure = sure or at < len(lines) and lines[at][:1] == "@"
+    return sure
+
+
+def _of_splits(ends: bool, batches):
+    """Records inside each split or, with `ends`, the lines in front of the first (part 0) and those of the last (part 1)."""
+    where, lines, found, front = None, [], False, []
+
+    def closed():
+        rows = [(where[0], where[1], k, x) for k, x in ((0, front if found else front + lines), (1, lines if found else [])) if x]
+        if ends and rows:
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "start", "part", "lines"])
+
+    def parsed():
+        """All records but the last, whose lines stay."""
+        nonlocal lines, found, front
+        if not found:
+            at = 0 if where[1] == 0 else next((i for i in range(len(lines)) if _is_start(lines, i)), None)
+            if at is None:
+                return
+            front, lines, found = front + lines[:at], lines[at:], True
+        *some, last = [*_spans(lines)] or [(0, None)]
+        if not ends and some:
+            yield from _batches([r for _, r in some])
+        lines = lines[last[0] :]
+
+    for batch in batches:
+        values, files, starts = (c.to_pylist() for c in batch.columns)
+        at = 0
+        while at < len(values):
+            to = at
+            while to < len(values) and (files[to], starts[to]) == (files[at], starts[at]):
+                to += 1
+            if where != (files[at], starts[at]):
+                if where is not None:
+                    yield from closed()
+                where, lines, found, front = (files[at], starts[at]), [], False, []
+            lines += values[at:to]
+            if found or len(lines) > 200 or to < len(values):
+                yield from parsed()
+            at = to
+    if where is not None:
+        if not found:
+            yield from parsed()
+        yield from closed()
+
+
+def _joined(batches):
+    """Records of the lines that splits have left over, in the order of their files."""
+    file, lines = None, []
+    for batch in batches:
+        done = []
+        for name, _, part, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if name != file or part == 1:  # a last record begins where its lines begin
+                done += _records(lines)
+                file, lines = name, []
+            lines += more
+        yield from _batches(done)
+    yield from _batches(list(_records(lines)))
 
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = list(_records(content.decode().split("\n")))
-                for at in range(0, len(rows), 4096):
-                    acc, seq, qual = zip(*rows[at : at + 4096], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (acc, seq, qual)], ["acc", "seq", "qual"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "acc string, seq string, qual string")
+def _records(lines: list[str]):
+    return (record for _, record in _spans(lines))
 
 
-def _records(lines: list[str]):
+def _spans(lines: list[str]):
+    """(first line, (name, sequence, qualities)) of each record."""
     at = 0
     while at < len(lines):
-        line = lines[at].rstrip("\r")
+        line, first = lines[at].rstrip("\r"), at
         at += 1
         if line[:1] not in ("@", ">"):
             continue
@@ -69,7 +162,7 @@ def _records(lines: list[str]):
                 size += len(some[-1])
                 at += 1
             quality = "".join(some) if size == len(sequence) else None
-        yield name, sequence, quality
+        yield first, (name, sequence, quality)
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
