@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -37,20 +38,43 @@ def _numbered(sequences: DataFrame) -> DataFrame:
     return written(sequences.select(F.monotonically_increasing_id().alias("id"), "seq", F.length("seq").alias("len")), "sequences")
 
 
+def _hashed(sequences: DataFrame, near: int, every: bool) -> DataFrame:
+    """`id`, `len`, `w`, `at`, `key`: windows side by side of numbered sequences or, with `every`, all those that they can meet."""
+
+    def width(free: int) -> int:
+        room = free // (near + 1)
+        return min(MOST_WINDOW, 1 << (room.bit_length() - 1)) if room >= LEAST_WINDOW else 0
+
+    def given(parts):
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "len", "w", "at", "key"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for number, seq, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Lengths within `near` of the query's have one of these two widths, as near is less than an eighth of them.
+                for w in {width(size - near), width(size + near)} if every else {width(size)}:
+                    if LEAST_WINDOW <= w <= size:
+                        keys = D.window_hashes(seq, w)
+                        at = np.arange(len(keys)) if every else np.arange(near + 1) * w
+                        parts.append((np.full(len(at), number), np.full(len(at), size, np.int32), np.full(len(at), w, np.int32), at.astype(np.int32), keys[at]))
+                        held += len(at)
+                if held > 50_000:
+                    yield given(parts)
+                    parts, held = [], 0
+        if parts:
+            yield given(parts)
+
+    return sequences.select("id", "seq", "len").mapInArrow(run, "id bigint, len int, w int, at int, key bigint")
+
+
 def _pairs_by_window(queries: DataFrame, targets: DataFrame, near: int) -> DataFrame:
     """Pairs (`q`, `t`, ids) of numbered sequences that may be within `near` edits of each other."""
-    width = lambda c: _width(c, near + 1, MOST_WINDOW)
-    held = targets.select("id", "seq", "len", width(F.col("len")).alias("_w")).where(F.col("_w") >= LEAST_WINDOW)
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(near)), lambda i: F.xxhash64(F.substring(F.col("seq"), i * F.col("_w") + 1, F.col("_w"))))
-    held = held.select(F.col("id").alias("t"), F.col("len").alias("_lt"), "_w", F.posexplode(cuts).alias("_i", "_key"))
-    held = held.select("t", "_lt", "_w", "_key", (F.col("_i") * F.col("_w")).alias("_at"))
-    # Lengths within `near` of the query's have one of these two widths, as near is less than an eighth of them.
-    widths = F.array_distinct(F.array(width(F.col("len") - near), width(F.col("len") + near)))
-    asked = queries.select("id", "seq", "len", F.explode(widths).alias("_w")).where((F.col("_w") >= LEAST_WINDOW) & (F.col("_w") <= F.col("len")))
-    every = F.transform(F.sequence(F.lit(1), F.col("len") - F.col("_w") + 1), lambda i: F.xxhash64(F.substring(F.col("seq"), i, F.col("_w"))))
-    asked = asked.select(F.col("id").alias("q"), F.col("len").alias("_lq"), "_w", F.posexplode(every).alias("_from", "_key"))
+    held = _hashed(targets, near, False).select(F.col("id").alias("t"), F.col("len").alias("_lt"), "w", F.col("at").alias("_at"), "key")
+    asked = _hashed(queries, near, True).select(F.col("id").alias("q"), F.col("len").alias("_lq"), "w", F.col("at").alias("_from"), "key")
     close = (F.abs(F.col("_lq") - F.col("_lt")) <= near) & (F.abs(F.col("_from") - F.col("_at")) <= near)
-    return asked.join(held, ["_w", "_key"]).where(close).select("q", "t").distinct()
+    return asked.join(held, ["w", "key"]).where(close).select("q", "t").distinct()
 
 
 def _far(left: DataFrame, targets: DataFrame, self_join: bool) -> DataFrame:
