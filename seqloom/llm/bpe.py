@@ -38,7 +38,7 @@ from seqloom.llm import common
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Bytes, about, of the pieces that one Python worker remembers; beyond that it forgets all of them. An entry is ENTRY_BYTES and its text.
-REMEMBERED_BYTES, ENTRY_BYTES = 64 << 20, 200
+REMEMBERED_BYTES, ENTRY_BYTES = 96 << 20, 200
 #: Characters that are encoded at a time, so that the working arrays stay small.
 AT_ONCE = 1 << 20
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,6 +74,9 @@ def to_characters(data: bytes) -> str:
     return data.decode("latin-1").translate(_TO_CHARS)
 
 
+_SPACE = to_characters(b" ")
+
+
 def to_bytes(token: str) -> bytes:
     """The bytes that a token's characters stand for."""
     return token.translate(_TO_BYTES).encode("latin-1")
@@ -123,8 +126,7 @@ class Codec:
         else:
             self.tokenizer = Tokenizer.from_file(vocabulary.path)
             self.tokenizer.encode_special_tokens = vocabulary.plain
-        added = [] if vocabulary.plain else [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.irregular = re.compile("|".join([_IRREGULAR.pattern, *added]))
+        self.added = [] if vocabulary.plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.matches = regex.compile(vocabulary.pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")).findall
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -152,8 +154,8 @@ class Codec:
     def _ids(self, lead: str, word: str):
         """Ids of one piece: `lead` is a space, a line feed or nothing."""
         if lead == " ":  # most are letters, or letters and one mark
-            if word.isalpha():
-                return self._match(" " + word)
+            if word.isalpha():  # the piece itself is what is remembered
+                return [t.id for t in self.model.tokenize(_SPACE + (word if word.isascii() else to_characters(word.encode())))]
             if word[-1] in ",.!?:;" and word[:-1].isalpha():
                 return self._match(" " + word[:-1]) + self._match(word[-1])
         text = lead + word
@@ -200,7 +202,7 @@ class Codec:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if self.irregular.search(text):
+            if _IRREGULAR.search(text) or any(x in text for x in self.added):
                 out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 continue
             keys = text.replace("\n", " \n").split(" ")
