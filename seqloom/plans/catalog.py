@@ -179,14 +179,6 @@ def benchmark_neighbours(spark, sf_dir):
     return found.select(F.md5("q").alias("q_md5"), F.md5("t").alias("t_md5"), F.col("ed").cast("bigint").alias("ed"))
 
 
-@query()
-def document_neighbours(spark, sf_dir):
-    """Nearest others of all whole documents, up to a twentieth of their length: windows only."""
-    texts = document_reads(spark, sf_dir).select("seq").distinct()
-    found = neighbors.nearest(texts, texts, self_join=True, share=0.05)
-    return found.select(F.md5("q").alias("q_md5"), F.md5("t").alias("t_md5"), F.col("ed").cast("bigint").alias("ed"))
-
-
 @query(f"""WITH {_SHORT}, p AS (SELECT x.acc AS a, y.acc AS b, x.seq AS s, y.seq AS u, strpos(x.seq, y.seq) - 1 AS pos FROM nodes x JOIN nodes y ON x.seq <> y.seq AND length(y.seq) <= length(x.seq) AND length(y.seq) >= length(x.seq) - 6)
 SELECT a, b FROM p WHERE (pos BETWEEN 0 AND 3 AND length(s) - pos - length(u) <= 3)
  OR len(list_filter(range(greatest(length(s) - 3, 1), length(s) + 1), lambda n: n <= length(u) AND (right(s, CAST(n AS INTEGER)) = left(u, CAST(n AS INTEGER)) OR right(u, CAST(n AS INTEGER)) = left(s, CAST(n AS INTEGER))))) > 0""")
