@@ -147,3 +147,27 @@ def test_ends_adjusted_graph_of_the_reads(spark):
                         want |= {(a, b, ed), (b, a, ed)}
     got = [tuple(r) for r in catalog.ends_adjusted_graph(spark, folder).select("q", "t", "ed").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_reads_with_one_beginning(spark):
+    """Addresses begin alike: they do not meet by what all of them have, and those within one edit meet by deletions."""
+    rng = random.Random(12)
+    start = "".join(rng.choice("ACGT") for _ in range(40))
+    seqs = sorted({start + "".join(rng.choice("ACGT") for _ in range(rng.choice([5, 14]))) for _ in range(400)})
+    found = frame(spark, seqs).select("seq")
+    held = neighbors._numbered(found)
+    assert neighbors._pairs_by_window(held, held, 3, False).count() == 0
+    assert neighbors._pairs_by_deletion(held, held).where("q <> t").count() < len(seqs) ** 2 / 50
+    got = {tuple(r) for r in neighbors.nearest(found, found, True).collect()}
+    away = {q: [(distance(q[40:], t[40:]), t) for t in seqs if t != q] for q in seqs}
+    assert got == {(q, t, d) for q, near in away.items() for d, t in near if d == min(near)[0]}
+
+
+def test_deletions_meet():
+    rng = random.Random(13)
+    texts = ["", "A", "é😀x", *("".join(rng.choice("AC") for _ in range(rng.randint(1, 7))) for _ in range(60))]
+    keys = [set(D.deletion_hashes(t).tolist()) for t in texts]
+    for i, s in enumerate(texts):
+        for k, t in enumerate(texts):
+            assert keys[i] & keys[k] or distance(s, t) > 1
+            assert not keys[i] & keys[k] or distance(s, t) <= 2
