@@ -242,22 +242,32 @@ def _width(free: Column, parts: int = 1, most: int = 64) -> Column:
 
 
 def equivalent_pairs(candidates: DataFrame, ends: int) -> DataFrame:
-    """Pairs `a`, `b` of different sequences, b no longer, that are the same but for at most `ends` characters at either end.
+    """Pairs `a`, `b` of different sequences, b no longer, that are the same but for at most `ends` characters at either end."""
+    seq = lambda c: candidates.select(F.col("acc").alias(c), F.col("seq").alias(f"_{c}"))
+    met = _with_parts_in_common(candidates, ends).join(seq("a"), "a").join(seq("b"), "b")
+    return met.where((F.col("_a") != F.col("_b")) & S.equivalent_but_ends("_a", "_b", ends)).select("a", "b").distinct()
 
-    What a has right after its first `ends` characters, b has among its first 2 * `ends`: they meet by that window, which is
-    as wide as a's length allows. Sequences of at most 2 * `ends` characters have no such window and meet by length.
+
+def _with_parts_in_common(candidates: DataFrame, ends: int) -> DataFrame:
+    """Pairs `a`, `b` that may be the same but for `ends` characters.
+
+    If they are, b is a part of a that begins and ends where a does but for that much, or all but as much of a, at one end of it, is at
+    the other end of b. They meet by hashes of these parts whole, so sequences that only have much in common do not.
     """
     sized = candidates.select("acc", "seq", F.length("seq").alias("_len"))
-    width = lambda c: _width(c - 2 * ends)
-    long = sized.select(F.col("acc").alias("a"), F.col("seq").alias("_a"), width(F.col("_len")).alias("_w"))
-    long = long.select("a", "_a", "_w", F.when(F.col("_w") > 0, F.xxhash64(F.substring("_a", F.lit(ends + 1), F.col("_w")))).otherwise(0).alias("_key"))
-    # Lengths of a from b's to 2 * ends more give these widths.
-    widths = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(2 * ends)), lambda i: width(F.col("_len") + i)))
-    short = sized.select(F.col("acc").alias("b"), F.col("seq").alias("_b"), "_len", F.explode(widths).alias("_w"))
-    places = F.sequence(F.lit(1), F.greatest(F.least(F.lit(2 * ends + 1), F.col("_len") - F.col("_w") + 1), F.lit(1)))
-    keys = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("_b"), i, F.col("_w")))))
-    short = short.select("b", "_b", "_w", F.explode(F.when(F.col("_w") > 0, keys).otherwise(F.array(F.lit(0).cast("bigint")))).alias("_key"))
-    met = long.join(short, ["_w", "_key"]).where((F.col("_a") != F.col("_b")) & S.equivalent_but_ends("_a", "_b", ends))
+    cut = F.sequence(F.lit(0), F.lit(ends))
+    # Rows of a key are told apart by how it was made: b inside a, a's end at b's beginning, a's beginning at b's end.
+    head = lambda i: F.xxhash64(F.lit(2), F.substring(F.col("seq"), F.lit(1), F.col("_len") - i))
+    tail = lambda i: F.xxhash64(F.lit(1), F.substring(F.col("seq"), i + 1, F.col("_len")))
+    head_as_tail = lambda i: F.xxhash64(F.lit(1), F.substring(F.col("seq"), F.lit(1), F.col("_len") - i))
+    tail_as_head = lambda i: F.xxhash64(F.lit(2), F.substring(F.col("seq"), i + 1, F.col("_len")))
+    inside = F.flatten(F.transform(cut, lambda i: F.transform(cut, lambda j: F.xxhash64(F.lit(0), F.substring(F.col("seq"), i + 1, F.col("_len") - i - j)))))
+    left = F.filter(cut, lambda i: i < F.col("_len"))  # something is left
+    long = F.array_distinct(F.concat(inside, F.transform(left, tail), F.transform(left, head)))
+    short = F.array_distinct(F.concat(F.array(F.xxhash64(F.lit(0), F.col("seq"))), F.transform(left, head_as_tail), F.transform(left, tail_as_head)))
+    long = sized.select(F.col("acc").alias("a"), F.col("_len").alias("_la"), F.explode(long).alias("_key"))
+    short = sized.select(F.col("acc").alias("b"), F.col("_len").alias("_lb"), F.explode(short).alias("_key"))
+    met = long.join(short, "_key").where((F.col("a") != F.col("b")) & (F.col("_la") - F.col("_lb")).between(0, 2 * ends))
     return met.select("a", "b").distinct()
 
 

@@ -46,6 +46,18 @@ def test_equivalent_pairs(spark, lengths, ends):
     assert got == {tuple(r) for r in want.collect()} and got
 
 
+def test_equivalents_with_one_beginning(spark):
+    """Of sequences that begin alike only those meet that are the same but for their ends, or nearly."""
+    rng = random.Random(14)
+    start = "".join(rng.choice("ACGT") for _ in range(64))
+    seqs = sorted({start + "".join(rng.choice("ACGT") for _ in range(30)) for _ in range(200)})
+    seqs += [seqs[0][2:], seqs[1][:-3], "A" + seqs[2][:-1], seqs[3] + "CG"]
+    found = frame(spark, seqs)
+    got = {tuple(r) for r in neighbors.equivalent_pairs(found, 3).collect()}
+    assert got == {("c0", "c200"), ("c1", "c201"), ("c2", "c202"), ("c202", "c2"), ("c203", "c3")}
+    assert neighbors._with_parts_in_common(found, 3).count() < 20
+
+
 def test_close_but_ends(spark):
     ends, most = 4, 3
     found = frame(spark, sequences(2, (20, 60, 61, 150), ends))
