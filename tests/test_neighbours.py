@@ -183,3 +183,41 @@ def test_deletions_meet():
         for k, t in enumerate(texts):
             assert keys[i] & keys[k] or distance(s, t) > 1
             assert not keys[i] & keys[k] or distance(s, t) <= 2
+
+
+@pytest.mark.parametrize(("ends", "most"), [(3, 10), (0, 2), (15, 10)])
+def test_pairs_but_for_ends_by_bit_vectors(ends, most):
+    """Many pairs at a time against each by itself; lengths about the ends of machine words."""
+    rng = random.Random(21)
+    texts = {"", "A", "é😀x"}
+    for n in (2, 5, 14, 30, 62, 63, 64, 65, 127, 128, 200):
+        start = "".join(rng.choice("ACGT") for _ in range(n))
+        for _ in range(8):
+            s = list(start)
+            for _ in range(rng.randint(0, 8)):
+                at = rng.randrange(len(s) + 1)
+                s[at : at + rng.randint(0, 1)] = rng.choice(["", "A", "C", "é"])
+            texts.add("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 5))) + "".join(s)[rng.randint(0, 4) :])
+    texts = sorted(texts)
+    q, t, ed = (c.tolist() for c in D.close_among(texts, texts, ends, most))
+    want = set()
+    for i, s in enumerate(texts):
+        for k, u in enumerate(texts):
+            if (len(s), s) < (len(u), u) and len(u) - len(s) <= most + 2 * ends and (e := A.ends_adjusted_distance(s, u, ends, most)) is not None:
+                want.add((i, k, e))
+    assert len(q) == len(set(zip(q, t, strict=True))) and set(zip(q, t, ed, strict=True)) == want and want
+
+
+def test_short_reads_are_not_aligned_one_by_one(spark, monkeypatch):
+    """Reads without windows, in small blocks of several bands: all pairs, none of them by the alignment of a single pair."""
+    monkeypatch.setattr(neighbors, "BLOCK", 9)
+    monkeypatch.setattr(A, "ends_adjusted", lambda *_: F.lit(None).cast("int"))
+    rng = random.Random(22)
+    seqs = sorted({"".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 16, 17, 33, 34, 40, 50]))) for _ in range(90)} | set(sequences(23, (30, 70, 88), 3)))
+    got = [tuple(r) for r in neighbors.close_but_ends(frame(spark, seqs), 3).collect()]
+    want = set()
+    for i, s in enumerate(seqs):
+        for k, u in enumerate(seqs):
+            if (len(s), s) < (len(u), u) and len(u) - len(s) <= 16 and (e := A.ends_adjusted_distance(s, u, 3)) is not None:
+                want |= {(f"c{i}", f"c{k}", e), (f"c{k}", f"c{i}", e)}
+    assert max(map(len, seqs)) < 94 and len(got) == len(set(got)) and set(got) == want
