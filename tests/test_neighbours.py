@@ -186,8 +186,10 @@ def test_deletions_meet():
 
 
 @pytest.mark.parametrize(("ends", "most"), [(3, 10), (0, 2), (15, 10)])
-def test_pairs_but_for_ends_by_bit_vectors(ends, most):
+def test_pairs_but_for_ends_by_bit_vectors(ends, most, monkeypatch):
     """Many pairs at a time against each by itself; lengths about the ends of machine words."""
+    monkeypatch.setattr(D, "ROWS", 16)
+    monkeypatch.setattr(D, "PATHS", 20)
     rng = random.Random(21)
     texts = {"", "A", "é😀x"}
     for n in (2, 5, 14, 30, 62, 63, 64, 65, 127, 128, 200):
