@@ -223,3 +223,16 @@ def test_short_reads_are_not_aligned_one_by_one(spark, monkeypatch):
             if (len(s), s) < (len(u), u) and len(u) - len(s) <= 16 and (e := A.ends_adjusted_distance(s, u, 3)) is not None:
                 want |= {(f"c{i}", f"c{k}", e), (f"c{k}", f"c{i}", e)}
     assert max(map(len, seqs)) < 94 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_close_but_ends_about_the_least_window(spark):
+    """Lengths on both sides of 94, from which on the longer one's windows are long enough to be looked up."""
+    seqs = sorted({s for s in sequences(24, (84, 92, 96, 104), 3) if 78 <= len(s)} | {s[i : 93 + i] for s in sequences(25, (100,), 0) for i in (0, 1, 3)})
+    got = [tuple(r) for r in neighbors.close_but_ends(frame(spark, seqs), 3).collect()]
+    want = set()
+    for i, s in enumerate(seqs):
+        for k, u in enumerate(seqs):
+            if (len(s), s) < (len(u), u) and len(u) - len(s) <= 16 and (e := A.ends_adjusted_distance(s, u, 3)) is not None:
+                want |= {(f"c{i}", f"c{k}", e), (f"c{k}", f"c{i}", e)}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(len(seqs[int(q[1:])]) < 94 <= len(seqs[int(t[1:])]) for q, t, _ in got)
